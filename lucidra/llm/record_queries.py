@@ -8,8 +8,34 @@ from pyspark.sql import functions as F
 from lucidra.functions.dimensions import nearest_r7
 from lucidra.llm.cutoffs import CountTree, keep_fraction
 from lucidra.llm.formatting import collapse, formatting_classes
+from lucidra.llm.overlaps import overlapping_rows, overlapping_texts
 from lucidra.llm.splits import linked_groups
 from lucidra.session import load
+from lucidra.util import skew_join
+
+
+def _sides(spark: SparkSession, d: str) -> DataFrame:
+    """Examples with ``side``: development is searched, calibration and test are evaluation; others are neither."""
+    split = F.lower(F.regexp_replace("split", r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
+    side = F.when(split == "development", "train").when(split.isin("calibration", "test"), "eval")
+    source = F.get_json_object("metadata", "$.dataset_id")
+    return load(spark, d, "example_record").select("row_id", "question", side.alias("side"), split.alias("split_name"), source.alias("dataset_id"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """All near-same pairs of a development row and a calibration or test row, smaller id first."""
+    pairs = overlapping_rows(_sides(spark, d), "row_id", "question", "side")
+    return pairs.select(F.least("train_id", "eval_id").alias("row_id_a"), F.greatest("train_id", "eval_id").alias("row_id_b"))
+
+
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    """Overlaps per evaluation split and source: its rows that also stand in development, and how many rows it has."""
+    df = _sides(spark, d)
+    links, members = overlapping_texts(df, "row_id", "question", "side")
+    hit = links.select(F.col("b").alias("text_id")).distinct().withColumn("hit", F.lit(True))
+    evals = skew_join(members.where("side = 'eval'"), hit, "text_id", "left")
+    rows = evals.join(df.select("row_id", "split_name", "dataset_id"), "row_id")
+    return rows.groupBy("split_name", "dataset_id").agg(F.count(F.lit(1)).alias("rows"), F.count_if("hit").alias("overlapping"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -68,7 +94,7 @@ s AS (SELECT *, row_number() OVER (PARTITION BY track, policy_level ORDER BY sco
 c AS (SELECT track, policy_level, n, (keep_percent * n + 99) // 100 k, score cutoff FROM s JOIN keep_target USING (track, policy_level) WHERE pos = (keep_percent * n + 99) // 100)
 """
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_copies": p4_copies, "p7_found": p7_found, "p7_cutoffs": p7_cutoffs}
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p4_found": p4_found, "p4_copies": p4_copies, "p7_found": p7_found, "p7_cutoffs": p7_cutoffs}
 ORACLES = {
     "p7_found": _P7 + "SELECT track, policy_level, row_id FROM u JOIN c USING (track, policy_level) WHERE score >= cutoff",
     "p7_cutoffs": _P7
