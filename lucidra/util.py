@@ -72,14 +72,15 @@ def hot_keys(df: DataFrame, key: str, share: float = 0.01) -> list:
     return [r[0] for r in counts.where(F.col("n") >= F.lit(max(2, int(share * total)))).select(key).collect()]
 
 
-def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", share: float = 0.01) -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", share: float = 0.01, hot: list | None = None) -> DataFrame:
     """Equi-join where a few values of ``key`` may hold a large part of ``left``; ``right`` has unique keys.
 
     The right rows of the hot keys (at most ``1 / share`` rows) are broadcast, so that hot left rows stay
     where they are; all other keys take the ordinary shuffle join. No row is dropped or sampled.
-    ``how`` is inner, left, left_semi or left_anti; null keys match nothing.
+    ``how`` is inner, left, left_semi or left_anti; null keys match nothing. A caller that has counted the
+    keys already passes the ``hot`` ones.
     """
-    hot = hot_keys(left, key, share)
+    hot = hot_keys(left, key, share) if hot is None else hot
     if not hot:
         return left.join(right, key, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
