@@ -9,9 +9,10 @@ from lucidra.functions.dimensions import nearest_r7
 from lucidra.llm.cutoffs import CountTree, keep_fraction
 from lucidra.llm.formatting import collapse, formatting_classes
 from lucidra.llm.overlaps import overlapping_rows, overlapping_texts
+from lucidra.llm.pairs import flag_defects
 from lucidra.llm.splits import linked_groups
 from lucidra.session import load
-from lucidra.util import skew_join
+from lucidra.util import skew_join, spread
 
 
 def _sides(spark: SparkSession, d: str) -> DataFrame:
@@ -56,6 +57,16 @@ def p4_copies(spark: SparkSession, d: str) -> DataFrame:
     return collapse(df, "row_id", "question", "accepted_answers").select("row_id", "question", "copies")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Defective responses with their defect; the question is that of the example's smallest row."""
+    key = lambda c: F.lower(F.regexp_replace(c, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
+    ex = load(spark, d, "example_record").select(key("example_id").alias("k"), "row_id", "question").where("k != ''")
+    ex = ex.groupBy("k").agg(F.min_by("question", "row_id").alias("question"))
+    gen = load(spark, d, "generation_record").select("row_id", key("example_id").alias("k"), "raw_text", "candidates")
+    pairs = skew_join(gen, ex, "k", "left")
+    return flag_defects(spread(pairs), "row_id", "question", "raw_text", "candidates")
+
+
 def usable_scores(spark: SparkSession, d: str) -> DataFrame:
     """``track, policy_level, row_id, score``: one row per generation and level, usable scores only."""
     r = load(spark, d, "read_result_record").select(
@@ -94,7 +105,7 @@ s AS (SELECT *, row_number() OVER (PARTITION BY track, policy_level ORDER BY sco
 c AS (SELECT track, policy_level, n, (keep_percent * n + 99) // 100 k, score cutoff FROM s JOIN keep_target USING (track, policy_level) WHERE pos = (keep_percent * n + 99) // 100)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p4_found": p4_found, "p4_copies": p4_copies, "p7_found": p7_found, "p7_cutoffs": p7_cutoffs}
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p4_found": p4_found, "p4_copies": p4_copies, "p6_found": p6_found, "p7_found": p7_found, "p7_cutoffs": p7_cutoffs}
 ORACLES = {
     "p7_found": _P7 + "SELECT track, policy_level, row_id FROM u JOIN c USING (track, policy_level) WHERE score >= cutoff",
     "p7_cutoffs": _P7
