@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lucidra.functions.dimensions import nearest_r7
@@ -10,7 +11,7 @@ from lucidra.llm.cutoffs import CountTree, keep_fraction
 from lucidra.llm.formatting import collapse, formatting_classes
 from lucidra.llm.overlaps import overlapping_rows, overlapping_texts
 from lucidra.llm.pairs import flag_defects
-from lucidra.llm.splits import linked_groups
+from lucidra.llm.splits import assign, linked_groups
 from lucidra.session import load
 from lucidra.util import skew_join, spread
 
@@ -45,6 +46,27 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return groups.where("row != component").select(F.col("component").alias("first_row_id"), F.col("row").alias("row_id"))
 
 
+def _assigned(spark: SparkSession, d: str) -> DataFrame:
+    get = lambda k: F.lower(F.trim(F.get_json_object("metadata", f"$.{k}"))).alias(k)
+    df = load(spark, d, "example_record").select("row_id", "metadata", get("dataset_id"), get("lang"))
+    fractions = {r.split: r.fraction for r in load(spark, d, "split_target").collect()}
+    return df.join(assign(df, "row_id", "metadata", ["dataset_id", "lang"], fractions), "row_id")
+
+
+def p2_assigned(spark: SparkSession, d: str) -> DataFrame:
+    """The split of every row; linked rows share it, sources and languages are balanced."""
+    return _assigned(spark, d).select("row_id", "component", "split")
+
+
+def p2_balance(spark: SparkSession, d: str) -> DataFrame:
+    """The share of each split, overall and by source and language, against its target."""
+    rows = _assigned(spark, d)
+    sets = F.inline(F.array(F.struct(F.lit("all").alias("label")), F.struct(F.concat(F.lit("dataset_id="), F.coalesce("dataset_id", F.lit("<null>"))).alias("label")), F.struct(F.concat(F.lit("lang="), F.coalesce("lang", F.lit("<null>"))).alias("label"))))
+    n = rows.select("split", sets).groupBy("label", "split").agg(F.count(F.lit(1)).alias("rows"))
+    share = n.withColumn("share", F.col("rows") / F.sum("rows").over(W.partitionBy("label")))
+    return share.join(F.broadcast(load(spark, d, "split_target").select("split", F.col("fraction").alias("target"))), "split", "left")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Every later copy of a record with the first one of its class."""
     got = formatting_classes(load(spark, d, "example_record"), "row_id", "question", "accepted_answers")
@@ -105,7 +127,7 @@ s AS (SELECT *, row_number() OVER (PARTITION BY track, policy_level ORDER BY sco
 c AS (SELECT track, policy_level, n, (keep_percent * n + 99) // 100 k, score cutoff FROM s JOIN keep_target USING (track, policy_level) WHERE pos = (keep_percent * n + 99) // 100)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p4_found": p4_found, "p4_copies": p4_copies, "p6_found": p6_found, "p7_found": p7_found, "p7_cutoffs": p7_cutoffs}
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p2_assigned": p2_assigned, "p2_balance": p2_balance, "p4_found": p4_found, "p4_copies": p4_copies, "p6_found": p6_found, "p7_found": p7_found, "p7_cutoffs": p7_cutoffs}
 ORACLES = {
     "p7_found": _P7 + "SELECT track, policy_level, row_id FROM u JOIN c USING (track, policy_level) WHERE score >= cutoff",
     "p7_cutoffs": _P7

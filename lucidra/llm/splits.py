@@ -1,13 +1,22 @@
-"""Splits that keep related records together (problem 2)."""
+"""Splits that keep related records together (problem 2).
+
+Linked records form components (see :mod:`lucidra.operators.components`), and components are placed by
+grouped iterative stratification: the label with the fewest outstanding records first, its components
+into the split that needs that label most. The driver sees one row per label and split, and the
+components so large that they matter one by one; the many small ones of a label are dealt out in
+proportion to the needs by running sums over their hash order, taken in parts.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lucidra.operators.components import connected_components
+from lucidra.util import cut
 
 # Words that stand for no value.
 PLACEHOLDERS = ["n/a", "na", "none", "not applicable", "tbd", "todo", "unknown"]
@@ -37,3 +46,82 @@ def link_tokens(df: DataFrame, row_id: str, metadata: str, fields: tuple[str, ..
 def linked_groups(df: DataFrame, row_id: str, metadata: str, fields: tuple[str, ...] = LINK_FIELDS) -> DataFrame:
     """``row, component`` of the rows that share a value in one field with another row, directly or not."""
     return connected_components(link_tokens(df, row_id, metadata, fields), "row", "token")
+
+
+#: A component is placed on its own if it holds this share of its label's records, or more; at most its inverse per label.
+LARGE = 0.01
+PARTS = 256
+
+
+def label_vectors(df: DataFrame, row_id: str, labels: list[str], groups: DataFrame) -> DataFrame:
+    """``component, label, m``: how many records of each label a component has; records without links are their own component.
+
+    A record has one label for each column of ``labels`` (null is a label too).
+    """
+    named = F.explode(F.array(*[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("<null>"))) for c in labels]))
+    rows = df.select(F.col(row_id).alias("row"), *labels).join(groups, "row", "left")
+    return rows.select(F.coalesce("component", "row").alias("component"), named.alias("label")).groupBy("component", "label").agg(F.count(F.lit(1)).alias("m"))
+
+
+def _deal(comp: DataFrame, need: dict[str, float], names: list[str]) -> DataFrame:
+    """Split of each of many small components (component, m): the interval of the needs in which its running sum falls."""
+    total = sum(max(need[s], 0.0) for s in names)
+    c = comp.withColumn("_h", F.xxhash64("component")).withColumn("_part", F.pmod("_h", F.lit(PARTS)))
+    sums = c.groupBy("_part").agg(F.sum("m").alias("s"))
+    sums = sums.select("_part", (F.sum("s").over(W.partitionBy(F.lit(1)).orderBy("_part")) - F.col("s")).alias("before"), F.sum("s").over(W.partitionBy(F.lit(1))).alias("all"))
+    inner = F.sum("m").over(W.partitionBy("_part").orderBy("_h", "component").rowsBetween(W.unboundedPreceding, 0)) - F.col("m") / 2
+    placed = c.withColumn("_in", inner).join(F.broadcast(sums), "_part").withColumn("_x", (F.col("before") + F.col("_in")) / F.col("all") * F.lit(total))
+    split, upto = F.lit(names[-1]), total
+    for name in reversed(names[:-1]):
+        upto -= max(need[names[names.index(name) + 1]], 0.0)
+        split = F.when(F.col("_x") < F.lit(upto), name).otherwise(split)
+    return placed.select("component", split.alias("split"))
+
+
+def stratified_assignment(vectors: DataFrame, fractions: dict[str, float]) -> DataFrame:
+    """``component, split`` for ``component, label, m``; fractions by split name, scaled to sum to 1.
+
+    Labels must be few (their number is the number of rounds). Whole components are placed, so a split can miss its
+    share by about one large component. The result depends on the set of rows only. Empty input gives no row.
+    """
+    if not fractions or min(fractions.values()) < 0 or sum(fractions.values()) <= 0:
+        raise ValueError("fractions must be non-negative and not all zero")
+    scale, names = sum(fractions.values()), sorted(fractions)
+    vectors = cut(vectors)
+    left = {r.label: int(r.m) for r in vectors.groupBy("label").agg(F.sum("m").alias("m")).collect()}
+    need = {(x, s): left[x] * fractions[s] / scale for x in left for s in names}
+    free, out = vectors, None
+    while left:
+        label = min(left, key=lambda x: (left[x], x))
+        mine = cut(free.where(F.col("label") == label).select("component", "m"))
+        total = mine.agg(F.sum("m")).first()[0] or 0
+        if total:
+            floor = max(2.0, LARGE * total)
+            big = mine.where(F.col("m") >= floor).orderBy(F.desc("m"), "component").collect() if total > 2 else mine.orderBy(F.desc("m"), "component").collect()
+            wants, single = {s: need[label, s] for s in names}, []
+            for r in big:
+                best = max(names, key=lambda s: (wants[s], s))
+                wants[best] -= r.m
+                single.append((r.component, best))
+            kind = mine.schema["component"].dataType.simpleString()
+            placed = mine.sparkSession.createDataFrame(single, f"component {kind}, split string")
+            if total > 2:
+                placed = placed.unionByName(_deal(mine.where(F.col("m") < floor), wants, names))
+            placed = cut(placed)
+            given = free.join(placed, "component").groupBy("label", "split").agg(F.sum("m").alias("m")).collect()
+            for r in given:
+                need[r.label, r.split] -= r.m
+                if r.label in left:
+                    left[r.label] -= int(r.m)
+            free = cut(free.join(placed.select("component"), "component", "left_anti"))
+            out = placed if out is None else out.unionByName(placed)
+        del left[label]
+    return out if out is not None else vectors.select("component", F.lit("").alias("split")).limit(0)
+
+
+def assign(df: DataFrame, row_id: str, metadata: str, labels: list[str], fractions: dict[str, float]) -> DataFrame:
+    """``row_id, component, split`` of every record."""
+    groups = cut(linked_groups(df, row_id, metadata))
+    placed = cut(stratified_assignment(label_vectors(df, row_id, labels, groups), fractions))
+    rows = df.select(F.col(row_id).alias("row")).join(groups, "row", "left").withColumn("component", F.coalesce("component", "row"))
+    return rows.join(placed, "component").select(F.col("row").alias("row_id"), "component", "split")
