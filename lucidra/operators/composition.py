@@ -68,23 +68,23 @@ def factorized(df: DataFrame, atoms_correct: str, chain_correct: str, band: floa
 def agreement(df: DataFrame, key: str, response: str, valid: list[str] | None = None) -> DataFrame:
     """``key, n, valid_rate, classes, idempotency``: how repeated answers agree; a single answer has no agreement (null)."""
     ok = F.col(response).isin(valid).cast("int") if valid else F.lit(1)
-    c = df.groupBy(key, response).agg(F.count(F.lit(1)).alias("c"), F.sum(ok).alias("v"))
-    n = F.sum("c")
-    pairs = F.sum(F.expr("c * (c - 1) div 2"))
-    return c.groupBy(key).agg(n.alias("n"), (F.sum("v") / n).alias("valid_rate"), F.count(F.lit(1)).alias("classes"), ratio(pairs, n * (n - 1) / 2).alias("idempotency"))
+    c = df.groupBy(key, response).agg(F.count(F.lit(1)).alias("_c"), F.sum(ok).alias("_v"))
+    n = F.sum("_c")
+    pairs = F.sum(F.expr("_c * (_c - 1) div 2"))
+    return c.groupBy(key).agg(n.alias("n"), (F.sum("_v") / n).alias("valid_rate"), F.count(F.lit(1)).alias("classes"), ratio(pairs, n * (n - 1) / 2).alias("idempotency"))
 
 
 def rater_agreement(df: DataFrame, item: str, label: str) -> DataFrame:
     """One row: items rated at least twice, share rated unanimously, mean share of agreeing pairs of raters."""
-    c = df.groupBy(item, label).agg(F.count(F.lit(1)).alias("c"))
-    g = c.groupBy(item).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.expr("c * (c - 1) div 2")).alias("same")).where("n > 1")
-    return g.agg(F.count(F.lit(1)).alias("items"), F.avg((F.col("k") == 1).cast("double")).alias("unanimous"), F.avg(F.col("same") / (F.col("n") * (F.col("n") - 1) / 2)).alias("pairwise"))
+    c = df.groupBy(item, label).agg(F.count(F.lit(1)).alias("_c"))
+    g = c.groupBy(item).agg(F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_k"), F.sum(F.expr("_c * (_c - 1) div 2")).alias("_same")).where("_n > 1")
+    return g.agg(F.count(F.lit(1)).alias("items"), F.avg((F.col("_k") == 1).cast("double")).alias("unanimous"), F.avg(F.col("_same") / (F.col("_n") * (F.col("_n") - 1) / 2)).alias("pairwise"))
 
 
 def preferred(df: DataFrame, key: str, value: str) -> DataFrame:
     """``key, preferred, variants``: the most frequent variant; ties go to the shorter, then to the one first in order up to case."""
-    c = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
-    rank = F.struct(-F.col("n"), F.length(value), F.lower(F.col(value)), F.col(value))
+    c = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
+    rank = F.struct(-F.col("_n"), F.length(value), F.lower(F.col(value)), F.col(value))
     return c.groupBy(key).agg(F.min_by(value, rank).alias("preferred"), F.count(F.lit(1)).alias("variants"))
 
 

@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from lucidra.util import skew_join
 
-FOREVER = "9999-12-31 00:00:00"
+#: End of what was never deleted, and the moment just before it that stands for an unknown time of judgement.
+FOREVER, LAST = "9999-12-31 00:00:00", "9999-12-30 00:00:00"
 
 
 def reference_key(c: Column) -> Column:
@@ -95,7 +96,7 @@ def orphan_references(
     names = [f"_c{i}" for i in range(n)]
     refs = child.select(
         F.col(row_id).alias("row_id"),
-        F.coalesce(F.col(seen), F.to_timestamp_ntz(F.lit(FOREVER))).alias("_t"),
+        F.coalesce(F.col(seen), F.to_timestamp_ntz(F.lit(LAST))).alias("_t"),
         *[F.col(c).alias(f"_keep_{c}") for c in keep],
         *[F.col(c).alias(a) for c, a in zip(child_keys, names)],
     )

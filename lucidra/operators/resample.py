@@ -49,9 +49,9 @@ def linear_interval(estimates: DataFrame, value: str, confidence: float = 0.95,
 
 def cluster_bootstrap(df: DataFrame, cluster: str, value: Column, statistic: str = "mean", replicates: int = 200, confidence: float = 0.95, seed: int = 0) -> DataFrame:
     """One row: ``estimate, lower, upper`` of the mean of ``value`` with whole clusters drawn; an empty input gives no row."""
-    sums = df.groupBy(cluster).agg(F.sum(value.cast("double")).alias("s"), F.count(F.lit(1)).alias("n"))
-    ids = numbered(sums, cluster)
-    stats = ids.join(sums, cluster)
+    sums = df.groupBy(F.col(cluster).alias("_g")).agg(F.sum(value.cast("double")).alias("s"), F.count(F.lit(1)).alias("n"))
+    ids = numbered(sums, "_g")
+    stats = ids.join(sums, "_g")
     est = draws(ids, replicates, seed).join(stats.select("i", "s", "n"), "i").groupBy("replicate").agg((F.sum(F.col("m") * F.col("s")) / F.sum(F.col("m") * F.col("n"))).alias("v"))
     return stats.agg((F.sum("s") / F.sum("n")).alias("estimate")).crossJoin(interval(est, "v", confidence))
 
@@ -59,9 +59,9 @@ def cluster_bootstrap(df: DataFrame, cluster: str, value: Column, statistic: str
 def ratio_bootstrap(df: DataFrame, cluster: str, parts: dict[str, tuple[Column, Column]], replicates: int = 200, confidence: float = 0.95, seed: int = 0) -> DataFrame:
     """``metric, estimate, lower, upper`` of several ratios of sums, each rebuilt from summed parts in every replicate."""
     aggs = [F.sum(c.cast("double")).alias(f"{name}_{i}") for name, pair in parts.items() for i, c in enumerate(pair)]
-    sums = df.groupBy(cluster).agg(*aggs)
-    ids = numbered(sums, cluster)
-    stats = ids.join(sums, cluster).drop(cluster, "k")
+    sums = df.groupBy(F.col(cluster).alias("_g")).agg(*aggs)
+    ids = numbered(sums, "_g")
+    stats = ids.join(sums, "_g").drop("_g", "k")
     drawn = draws(ids, replicates, seed).join(stats, "i")
     over = lambda w: F.array(
         *[F.struct(F.lit(name).alias("metric"), F.try_divide(F.sum(w * F.col(f"{name}_0")), F.sum(w * F.col(f"{name}_1"))).alias("v")) for name in parts]
@@ -73,12 +73,12 @@ def ratio_bootstrap(df: DataFrame, cluster: str, parts: dict[str, tuple[Column,
 
 def two_sample_difference(df: DataFrame, key: str, value: Column, first: Column, replicates: int = 200, confidence: float = 0.95, seed: int = 0) -> DataFrame:
     """One row: difference of the means of two groups that are resampled independently of each other."""
-    rows = df.select(key, value.cast("double").alias("v"), first.alias("f"))
+    rows = df.select(F.col(key).alias("_g"), value.cast("double").alias("v"), first.alias("f"))
     out = []
     for flag, s in ((True, seed), (False, seed + 1)):
-        part = rows.where(F.col("f") == flag).groupBy(key).agg(F.sum("v").alias("s"), F.count(F.lit(1)).alias("n"))
-        ids = numbered(part, key)
-        stats = ids.join(part, key)
+        part = rows.where(F.col("f") == flag).groupBy("_g").agg(F.sum("v").alias("s"), F.count(F.lit(1)).alias("n"))
+        ids = numbered(part, "_g")
+        stats = ids.join(part, "_g")
         est = draws(ids, replicates, s).join(stats.select("i", "s", "n"), "i").groupBy("replicate").agg((F.sum(F.col("m") * F.col("s")) / F.sum(F.col("m") * F.col("n"))).alias(f"v{int(flag)}"))
         out.append((est, stats.agg((F.sum("s") / F.sum("n")).alias(f"e{int(flag)}"))))
     est = out[0][0].join(out[1][0], "replicate").select((F.col("v1") - F.col("v0")).alias("v"))
@@ -92,11 +92,11 @@ def paired_aurc(df: DataFrame, cluster: str, first: str, second: str, correct: s
     """
     from lucidra.operators.metrics import running
 
-    long = df.select(cluster, F.col(correct).cast("long").alias("y"), F.inline(F.array(F.struct(F.lit("a").alias("side"), F.col(first).alias("c")), F.struct(F.lit("b").alias("side"), F.col(second).alias("c")))))
-    h = long.groupBy(cluster, "side", "c").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos"))
-    ids = numbered(h, cluster)
+    long = df.select(F.col(cluster).alias("_g"), F.col(correct).cast("long").alias("y"), F.inline(F.array(F.struct(F.lit("a").alias("side"), F.col(first).alias("c")), F.struct(F.lit("b").alias("side"), F.col(second).alias("c")))))
+    h = long.groupBy("_g", "side", "c").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos"))
+    ids = numbered(h, "_g")
     drawn = draws(ids, replicates, seed).unionByName(ids.select(F.lit(-1).alias("replicate"), "i", F.lit(1).cast("long").alias("m")))
-    w = h.join(ids.select(cluster, "i"), cluster).join(drawn, "i")
+    w = h.join(ids.select("_g", "i"), "_g").join(drawn, "i")
     w = w.groupBy("replicate", "side", "c").agg(F.sum(F.col("m") * F.col("n")).alias("n"), F.sum(F.col("m") * F.col("pos")).alias("pos"))
     run = running(w, ["replicate", "side"], ["n", "pos"], descending=True)
     area = run.groupBy("replicate", "side").agg((F.sum(F.col("n") * (F.col("cum_n") - F.col("cum_pos")) / F.col("cum_n")) / F.sum("n")).alias("v"))
