@@ -436,6 +436,6 @@ def flag_defects(df: DataFrame, row_id: str, question: str, text: str, answers:
             ]
             found = defects_of(model, pairs) if model is not None else [["empty"] if not features(p)[1]["content"] else [] for p in pairs]
             ids = [i for i, ds in zip(pdf["row_id"], found) for _ in ds]
-            yield pd.DataFrame({"row_id": pd.Series(ids, dtype=pdf["row_id"].dtype), "defect": [d for ds in found for d in ds]})
+            yield pd.DataFrame({"row_id": pd.Series(ids, dtype=pdf["row_id"].dtype), "defect": pd.Series([d for ds in found for d in ds], dtype=object)})
 
     return base.mapInPandas(work, f"row_id {kind}, defect string")
