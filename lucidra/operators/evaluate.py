@@ -84,7 +84,7 @@ def evaluate(
     """
     groups, interactions = groups or [], interactions or []
     identity = identity_of(df, legacy)
-    asked = {c for x in [groups, *interactions] for c in x if c != POLICY}
+    asked = {c for x in [groups, *interactions, list(expected_levels or {})] for c in x if c != POLICY}
     absent = sorted(({"example_id", "confidence", "correct"} | asked) - set(df.columns))
     if absent:
         raise KeyError(f"missing columns {absent}")
