@@ -4,7 +4,8 @@ Entropy balancing: document rates as close as possible (in relative entropy) to
 subject to the tokens each source must contribute and to the cap on repeats. The rates are
 w = min(cap, exp(lambda_s * tokens)); the dual is solved by safeguarded Newton iterations whose sums
 are taken by Spark over the histogram of (source, length); the driver holds one number per source.
-Rates are rounded to whole copies so that the sum over each source stays exact to one document.
+Rates are rounded to whole copies by running sums over the lengths, and what a source then lacks or has
+too many is made up with documents of up to ``FINE`` tokens, whose counts per length are few.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from lucidra.llm.packing import ranked_within
 from lucidra.util import cut
 
 ROUNDS, TOLERANCE = 60, 1e-9
+#: Longest documents used to even out the rounding; also the most counts per source that the driver sees.
+FINE = 4096
 
 
 def _solve(cells: DataFrame, wanted: dict[str, float], caps: dict[str, int], scale: dict[str, float]) -> dict[str, float]:
@@ -57,6 +60,22 @@ def _solve(cells: DataFrame, wanted: dict[str, float], caps: dict[str, int], sca
     return lam
 
 
+def _even_out(cells: list, lacking: dict[str, float]) -> list[tuple[str, int, int]]:
+    """(source, n_tokens, change of copies) that bring each source closest to its tokens, longest documents first.
+
+    ``cells``: source, n_tokens, n, given, cap of the short documents.
+    """
+    out = []
+    for r in sorted(cells, key=lambda r: (r.source, -r.n_tokens)):
+        gap = lacking.get(r.source, 0.0)
+        k = int(gap / r.n_tokens + (0.5 if gap > 0 else -0.5)) if r.n_tokens == 1 else int(gap / r.n_tokens)
+        k = max(-r.given, min(k, int(r.n * r.cap) - r.given))
+        if k:
+            out.append((r.source, r.n_tokens, k))
+            lacking[r.source] = gap - k * r.n_tokens
+    return out
+
+
 def mix(docs: DataFrame, doc_id: str, source: str, n_tokens: str, targets: DataFrame, total: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(copies, report) of the mixture.
 
@@ -95,7 +114,14 @@ def mix(docs: DataFrame, doc_id: str, source: str, n_tokens: str, targets: DataF
     through = F.sum(F.col("n") * F.col("rate")).over(W.partitionBy("source").orderBy("n_tokens").rowsBetween(W.unboundedPreceding, 0))
     whole = rated.withColumn("_to", F.floor(through + 0.5)).withColumn("_from", F.lag("_to", 1, 0).over(W.partitionBy("source").orderBy("n_tokens")))
     given = F.least(F.col("_to") - F.col("_from"), F.col("n") * F.col("cap").cast("long"))
-    whole = whole.select("source", "n_tokens", "n", given.alias("given"))
+    whole = cut(whole.select("source", "n_tokens", "n", "cap", given.cast("long").alias("given")))
+    sums = whole.groupBy("source").agg(F.sum(F.col("given") * F.col("n_tokens")).alias("t")).collect()
+    lacking = {r.source: wanted[r.source] - r.t for r in sums}
+    changes = _even_out(whole.where(F.col("n_tokens") <= FINE).collect(), lacking)
+    if changes:
+        fix = spark.createDataFrame(changes, "source string, n_tokens long, change long")
+        whole = whole.join(F.broadcast(fix), ["source", "n_tokens"], "left").withColumn("given", F.col("given") + F.coalesce("change", F.lit(0))).drop("change")
+    whole = whole.drop("cap")
 
     hashed = rows.withColumn("_o", F.struct(F.xxhash64("doc_id").alias("h"), "doc_id"))
     ranked = ranked_within(hashed, ["source", "n_tokens"], "_o").drop("_o").join(whole, ["source", "n_tokens"])
