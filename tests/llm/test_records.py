@@ -70,7 +70,8 @@ def test_pairs_against_all_pairs(spark):
     for (i, _, s), (j, _, z) in itertools.product(rows, rows):
         if s == "train" and z == "eval" and bare[i] and bare[j]:
             a, b = bare[i], bare[j]
-            if a == b or (len(key(a) & key(b)) >= overlaps.SHARED and overlaps.same_question(a.split(), b.split(), names(a), names(b))):
+            few = max(len(names(a)), len(names(b))) <= overlaps.FEW_NAMES
+            if a == b or ((len(key(a) & key(b)) >= overlaps.SHARED or few) and overlaps.same_question(a.split(), b.split(), names(a), names(b))):
                 want.add((i, j))
     assert got == want and (903, 904) in got
 
@@ -86,6 +87,16 @@ def test_hot_ngrams_are_extended_not_dropped(spark, monkeypatch):
     assert got == want
 
 
+def test_a_slip_in_the_only_name_is_found_behind_hot_words(spark, monkeypatch):
+    monkeypatch.setattr(overlaps, "HOT_PAIRS", 50)
+    monkeypatch.setattr(overlaps, "HOT_ROWS", 10)
+    names = [a + b for a in ("zedo", "mika", "purel", "tavon", "bisor", "galun") for b in ("nia", "rok", "dal", "mev", "sut")]
+    rows = [(i, f"What is the capital of {n}?", "train" if i % 2 else "eval") for i, n in enumerate(names)]
+    rows += [(100, "What is the capital of Zedonai?", "train"), (101, "What is the capital of Mikarokk", "train"), (102, "what is the capital of Zdonia?", "train")]
+    got = {tuple(r) for r in overlaps.overlapping_rows(spark.createDataFrame(rows, "row_id long, q string, side string"), "row_id", "q", "side").collect()}
+    assert {(100, 0), (102, 0)} <= got and all(t >= 100 for t, _ in got)
+
+
 def test_overlaps_of_nothing(spark):
     assert overlaps.overlapping_rows(spark.createDataFrame([], "row_id long, q string, side string"), "row_id", "q", "side").isEmpty()
 
