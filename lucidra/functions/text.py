@@ -176,6 +176,11 @@ def token_f1_ascii(prediction: Column, reference: Column) -> Column:
     return F.when(both > 0, F.lit(2.0) * both / (F.size(p) + F.size(r))).otherwise(F.lit(0.0))
 
 
+def normalized(c: Column) -> Column:
+    """:func:`normalize_text` of any text: in the JVM for ASCII, in Arrow for the rest."""
+    return F.when(is_ascii(c), normalize_ascii(c)).otherwise(normalize_answer(F.when(~is_ascii(c), c)))
+
+
 def is_abstention(c: Column) -> Column:
     """Whether an ASCII answer says to abstain."""
     return normalize_ascii(c) == "abstain"

@@ -116,14 +116,13 @@ def result_violations(df: DataFrame) -> DataFrame:
 
 def condition_violations(df: DataFrame) -> DataFrame:
     """Adds ``violations`` to model condition records: levels that do not follow from cut points, dates and raw values."""
-    from lucidra.functions.dimensions import months_after, r1_level, r3_level
+    from lucidra.functions.dimensions import months_after, r3_level
 
     dim = lambda k, f: F.expr(f"try_element_at(dimensions, '{k}').{f}")
     freq, months = dim("R1", "raw").cast("double"), dim("R3", "raw").cast("double")
     tail, middle = F.col("r1_tail_max"), F.col("r1_middle_max")
     r1 = F.when(freq < 0, None).when(freq <= tail, "tail").when(freq <= middle, "middle").otherwise("head")
     days = months_after(F.to_date("r3_event_date"), F.to_date("r3_model_cutoff_date"))
-    assert r1_level  # the rule for constant cut points; here they are columns
     checks = {
         "example_id": _blank(F.col("example_id")),
         "model_snapshot_id": _blank(F.col("model_snapshot_id")),

@@ -20,10 +20,6 @@ def _sqltrim(c: str) -> str:
     return f"lower(regexp_replace({c}, '{EDGE}', '', 'g'))"
 
 
-def _ascii_questions(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "example_record").where(text.is_ascii(F.col("question")))
-
-
 def _first_examples(spark: SparkSession, d: str) -> DataFrame:
     """One example per id, the one with the smallest row id."""
     e = load(spark, d, "example_record").withColumn("k", _trim("example_id")).where("k != ''")
@@ -38,10 +34,9 @@ def exact_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 def token_f1(spark: SparkSession, d: str) -> DataFrame:
-    """Token F1 of ASCII responses against their first candidate."""
-    g = load(spark, d, "generation_record").select("row_id", "raw_text", F.try_element_at("candidates", F.lit(1)).alias("ref"))
-    g = g.where(text.is_ascii(F.col("raw_text")) & text.is_ascii(F.col("ref")))
-    return rounded(g.select("row_id", text.token_f1_ascii(F.col("raw_text"), F.col("ref")).alias("f1")))
+    """Token F1 of every response against its candidates."""
+    g = load(spark, d, "generation_record")
+    return rounded(g.select("row_id", text.token_f1("raw_text", "candidates").alias("f1")))
 
 
 _NORM = "trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[!-#%-*,-/:;?@\\[-\\]_{{}}]', ' ', 'g'), '\\b(?:a|an|the)\\b', ' ', 'g'), '\\s+', ' ', 'g'))"
@@ -106,15 +101,15 @@ def r6_levels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _chains(spark: SparkSession, d: str) -> DataFrame:
-    """Orders as chains of their 2 to 4 line items: right, conf arrays and the outcome of the chain."""
+    """Orders as chains of their line items: right, conf arrays and the outcome of the chain; orders without items are no chains."""
     li = load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_returnflag") != "R").cast("int").alias("right"), (((F.col("l_orderkey") * 31 + F.col("l_linenumber") * 17) % 101) / F.lit(100.0)).alias("conf"))
-    a = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "right", "conf"))).alias("a")).where(F.size("a").between(2, 4))
+    a = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "right", "conf"))).alias("a"))
     o = load(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_orderstatus") != "P").cast("int").alias("chain_right"))
     return a.join(o, "l_orderkey").select("l_orderkey", F.col("a.right").alias("right"), F.col("a.conf").alias("conf"), "chain_right", F.size("a").alias("depth"))
 
 
 _CH = """ch AS (SELECT l_orderkey, count(*) d, sum(r) k, min(r) every, exp(sum(ln(greatest(c, 1e-300)))) pr, min(c) mc, greatest(0, 1 - sum(1 - c)) ub, any_value(y) y FROM (
-  SELECT l_orderkey, (l_returnflag <> 'R')::INT r, ((l_orderkey * 31 + l_linenumber * 17) % 101) / 100.0::DOUBLE c, (o_orderstatus <> 'P')::INT y FROM lineitem JOIN orders ON o_orderkey = l_orderkey) GROUP BY l_orderkey HAVING count(*) BETWEEN 2 AND 4)"""
+  SELECT l_orderkey, (l_returnflag <> 'R')::INT r, ((l_orderkey * 31 + l_linenumber * 17) % 101) / 100.0::DOUBLE c, (o_orderstatus <> 'P')::INT y FROM lineitem JOIN orders ON o_orderkey = l_orderkey) GROUP BY l_orderkey)"""
 
 
 def chain_atoms(spark: SparkSession, d: str) -> DataFrame:
@@ -220,10 +215,15 @@ _TERT = """pf AS (SELECT l_partkey, count(*)::DOUBLE f FROM lineitem GROUP BY 1)
 _PANEL = "count(*) FILTER ({0}) AS {1}_n, round(avg(y) FILTER ({0}), 9) AS {1}_accuracy"
 
 QUERIES = {
-    "normalize_ascii": lambda s, d: _ascii_questions(s, d).select("row_id", text.normalize_ascii(F.col("question")).alias("t")),
+    "normalize_ascii": lambda s, d: load(s, d, "part").select("p_partkey", text.normalize_ascii(F.concat_ws(" - the ", "p_name", "p_type")).alias("t")),
+    "token_f1_ascii": lambda s, d: rounded(load(s, d, "part").select("p_partkey", text.token_f1_ascii(F.concat_ws(" ", "p_type", "p_name"), F.col("p_type")).alias("f1"))),
+    "question_hash_ascii": lambda s, d: load(s, d, "part").select("p_partkey", text.question_hash_ascii(F.concat_ws("  ", "p_name", "p_brand")).alias("h")),
+    "normalize_answer": lambda s, d: load(s, d, "example_record").select("row_id", text.normalized(F.col("question")).alias("t")),
+    "unique_answers": lambda s, d: load(s, d, "example_record").select("row_id", F.array_join(text.unique_strings("accepted_answers"), "|").alias("answers")),
+    "condition_hashes": lambda s, d: load(s, d, "read_certificate").select("row_id", text.canonical_hash("payload").alias("h")),
     "exact_match": exact_match,
     "token_f1": token_f1,
-    "question_hash": lambda s, d: _ascii_questions(s, d).select("row_id", text.question_hash_ascii(F.col("question")).alias("h")),
+    "question_hash": lambda s, d: load(s, d, "example_record").select("row_id", text.question_hash("question").alias("h")),
     "sig_digits": lambda s, d: _numbers(s, d).select("row_id", "t", numeric.significant_digits(F.col("t")).alias("digits")),
     "numeric_match": numeric_match,
     "date_match": date_match,
@@ -278,18 +278,16 @@ def _counts(table: str, checks: list[tuple[str, str]]) -> str:
 _BAD_ACTIONS = "coalesce(len(allowed_actions), 0) = 0 OR len(list_distinct(allowed_actions)) <> len(allowed_actions) OR len(list_filter(allowed_actions, lambda x: x NOT IN ('answer', 'set', 'abstain'))) > 0 OR NOT list_contains(allowed_actions, 'abstain')"
 
 ORACLES = {
-    "normalize_ascii": f"SELECT row_id, {_NORM.format('question')} AS t FROM example_record WHERE regexp_full_match(question, '[\\x00-\\x7F]*')",
-    "token_f1": f"""WITH g AS (SELECT row_id, list_filter(string_split({_NORM.format('raw_text')}, ' '), lambda x: x <> '') p, list_filter(string_split({_NORM.format('candidates[1]')}, ' '), lambda x: x <> '') r FROM generation_record
-  WHERE regexp_full_match(raw_text, '[\\x00-\\x7F]*') AND regexp_full_match(candidates[1], '[\\x00-\\x7F]*')),
- b AS (SELECT row_id, len(p) lp, len(r) lr, coalesce(list_sum([least(len(list_filter(p, lambda x: x = t)), len(list_filter(r, lambda x: x = t))) FOR t IN list_distinct(list_intersect(p, r))]), 0) o FROM g)
- SELECT row_id, CASE WHEN o > 0 THEN round(2.0::DOUBLE * o / (lp + lr), 9) ELSE 0 END AS f1 FROM b""",
-    "question_hash": "SELECT row_id, sha256(trim(regexp_replace(lower(question), '\\s+', ' ', 'g'))) AS h FROM example_record WHERE regexp_full_match(question, '[\\x00-\\x7F]*')",
+    "normalize_ascii": f"SELECT p_partkey, {_NORM.format("p_name || ' - the ' || p_type")} AS t FROM part",
+    "token_f1_ascii": f"""WITH g AS (SELECT p_partkey, list_filter(string_split({_NORM.format("p_type || ' ' || p_name")}, ' '), lambda x: x <> '') p, list_filter(string_split({_NORM.format('p_type')}, ' '), lambda x: x <> '') r FROM part),
+ b AS (SELECT p_partkey, len(p) lp, len(r) lr, coalesce(list_sum([least(len(list_filter(p, lambda x: x = t)), len(list_filter(r, lambda x: x = t))) FOR t IN list_distinct(list_intersect(p, r))]), 0) o FROM g)
+ SELECT p_partkey, CASE WHEN o > 0 THEN round(2.0::DOUBLE * o / (lp + lr), 9) ELSE 0 END AS f1 FROM b""",
+    "question_hash_ascii": "SELECT p_partkey, sha256(trim(regexp_replace(lower(p_name || '  ' || p_brand), '\\s+', ' ', 'g'))) AS h FROM part",
     "sig_digits": f"WITH {_NUMS} SELECT row_id, t, CASE WHEN length(ltrim(replace(replace(t, '-', ''), '.', ''), '0')) > 0 THEN length(ltrim(replace(replace(t, '-', ''), '.', ''), '0')) ELSE greatest(1, length(split_part(t, '.', 2))) END AS digits FROM nu",
     "numeric_match": f"WITH {_NUMS} SELECT row_id, t, abs(t::DECIMAL(20,4) - round(t::DECIMAL(20,4), 0)) <= 0.4 AS m FROM nu",
     "date_match": """WITH o AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') s FROM orders), b AS (SELECT *, CASE WHEN o_orderkey % 7 = 0 THEN substr(s, 1, 8) || '31' WHEN o_orderkey % 7 = 1 THEN replace(s, '-0', '-') ELSE s END b FROM o)
  SELECT o_orderkey, regexp_full_match(b, '\\d{4}-\\d{2}-\\d{2}') AND try_cast(b AS DATE) IS NOT NULL AND (b = s OR b = substr(s, 1, 8) || '01') AS m, regexp_full_match(substr(b, 1, 7), '\\d{4}-\\d{2}') AND try_cast(substr(b, 1, 7) || '-01' AS DATE) IS NOT NULL AS month_ok FROM b""",
     "hash_split": "SELECT row_id, CASE WHEN x < 0.2::DOUBLE THEN 'development' WHEN x < 0.5::DOUBLE THEN 'calibration' ELSE 'test' END AS split FROM (SELECT row_id, ('0x' || substr(sha256('7:' || example_id), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0 x FROM example_record WHERE example_id IS NOT NULL)",
-    "exact_match": None,
     "dimension_levels": f"""WITH {_DIMS} SELECT c AS code, l AS level, count(*) AS n, count(*) FILTER (l IS NOT NULL AND l <> CASE WHEN c = 'R4' THEN CASE WHEN n = 1 THEN 'unambiguous' WHEN n = 2 THEN 'two_way' WHEN n >= 3 THEN 'three_plus' END
  WHEN c = 'R5' THEN CASE WHEN n = 1 THEN 'one_hop' WHEN n = 2 THEN 'two_hop' WHEN n = 3 THEN 'three_hop' WHEN n >= 4 THEN 'four_plus_hop' END END) AS inconsistent FROM dl GROUP BY ALL""",
     "crossed_groups": f"WITH {_DIMS} SELECT 'R5=' || a.l || '|R4=' || b.l AS cell, count(*) AS n FROM dl a JOIN dl b ON a.row_id = b.row_id AND a.c = 'R5' AND b.c = 'R4' WHERE a.l IS NOT NULL AND b.l IS NOT NULL GROUP BY 1",
@@ -363,4 +361,3 @@ ORACLES = {
  WHEN NOT coalesce(try_cast(j->>'$.calibration_supported' AS BOOLEAN), false) THEN 'none_unsupported_calibration' WHEN j->>'$.coverage_scope' IS NULL THEN 'none_not_claimed' WHEN j->>'$.coverage_scope' = 'marginal' THEN 'finite_label_marginal_under_recorded_assumptions'
  ELSE 'finite_label_group_marginal_under_recorded_assumptions' END AS status, count(*) AS n FROM j GROUP BY 1""",
 }
-ORACLES = {k: v for k, v in ORACLES.items() if v}

@@ -103,7 +103,7 @@ def freeze_csv(path: str | Path, rows: Iterable[Mapping], fields: list[str]) ->
 def read_csv_strings(spark: SparkSession, path: str, sep: str = ",", required: list[str] | None = None) -> DataFrame:
     """CSV with a header, every cell a string and empty cells empty rather than null; long cells and quoted line ends allowed."""
     df = spark.read.csv(path, sep=sep, header=True, inferSchema=False, multiLine=True, maxCharsPerColumn=-1, escape='"', nullValue=None)
-    df = df.toDF(*[c.removeprefix("﻿") for c in df.columns]).na.fill("")
+    df = df.toDF(*[c.removeprefix("\ufeff") for c in df.columns]).na.fill("")
     missing = [c for c in required or [] if c not in df.columns]
     if missing:
         raise KeyError(f"{path} lacks the columns {missing}")

@@ -48,7 +48,7 @@ def test_frozen_artifacts_and_fingerprints(spark, tmp_path):
 
 def test_csv_strings(spark, tmp_path):
     p = tmp_path / "a.csv"
-    p.write_text('﻿a,b\n1,\n"x ""q"" \nnext",2\n', encoding="utf-8")
+    p.write_text('\ufeffa,b\n1,\n"x ""q"" \nnext",2\n', encoding="utf-8")
     rows = io.read_csv_strings(spark, str(p), required=["a"]).collect()
     assert [tuple(r) for r in rows] == [("1", ""), ('x "q" \nnext', "2")]
     with pytest.raises(KeyError):
