@@ -114,13 +114,13 @@ def parse_sequence(texts: pd.Series) -> pd.Series:
 
 
 def fill_placeholders(question: str, answers: list[str], position: int) -> str:
-    """``#k`` standing alone replaced by the answer of step k; forward references raise, numbers beyond the steps stay."""
+    """``#k`` standing alone replaced by the answer of step k of a chain; ``#0`` and forward references raise, numbers beyond the chain stay."""
 
     def put(m: re.Match) -> str:
         k = int(m[1])
-        if not 1 <= k <= len(answers):
+        if k > len(answers):
             return m[0]
-        if k >= position:
+        if k < 1 or k >= position:
             raise ValueError(f"step {position} refers to step {k}")
         return answers[k - 1]
 
