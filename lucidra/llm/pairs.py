@@ -39,7 +39,7 @@ PRIOR = 0.03
 LABELS = frozenset("answer question response reply final result output a q r antwort frage réponse reponse question respuesta pregunta p ergebnis résultat resultado".split())
 PLACEHOLDERS = frozenset("null none nil nan n/a na blank empty no output missing undefined tbd todo unknown leer vide vacío vacio".split())
 # Texts without content.
-EMPTY_TEXTS = ["", " ", "-", "--", ".", "...", "…", "**", "{}", "[]", "()", "N/A", "n/a", "null", "None", "nan", "[no output]", "(blank)", "[empty]", "<p></p>", "<answer></answer>", "<br>", "```\n```", "​", "Answer:", "A:", "Final answer:", "Response:", "Antwort:", "Réponse :", "Respuesta:"]
+EMPTY_TEXTS = ["", " ", "-", "--", ".", "...", "…", "**", "{}", "[]", "()", "N/A", "n/a", "null", "None", "nan", "[no output]", "(blank)", "[empty]", "<p></p>", "<answer></answer>", "<br>", "```\n```", "\u200b", "Answer:", "A:", "Final answer:", "Response:", "Antwort:", "Réponse :", "Respuesta:"]
 # Ways to decline, by language; {x} is a thing asked about.
 REFUSALS = {
     "en": [
@@ -147,11 +147,14 @@ def features(p: Pair, endings: frozenset[int] = frozenset()) -> tuple[dict[int,
     answers = [a for a in (_flat(x or "") for x in p.answers) if a]
     has_answer = any(f" {a} " in flat for a in answers)
     covered = len(asked_set & said_set) / len(asked_set) if asked_set else 0.0
+    asked_flat = " " + " ".join(asked) + " "
+    adds_answer = any(f" {a} " in flat and f" {a} " not in asked_flat for a in answers)
     own = detect(stripped, quotes=False)
     wanted = {x for x in (detect(p.question), asked_language(p.question)) if x} if p.question else set()
     ends = bool(_END.search(stripped))
-    full_stop = bool(re.search(r"(?<![.])[.!?。？！]\W*$", stripped))
-    facts = {"content": len(content), "new": len(new), "near": len(near), "covered": covered, "own": own, "wanted": wanted, "ends": ends, "has_answer": has_answer, "said": len(said), "full_stop": full_stop}
+    dots = bool(re.search(r"(?:\.{2,}|…)\W*$", stripped))
+    full_stop = not dots and bool(re.search(r"[.!?。？！]\W*$", stripped))
+    facts = {"content": len(content), "new": len(new), "near": len(near), "covered": covered, "own": own, "wanted": wanted, "ends": ends, "has_answer": has_answer, "said": len(said), "full_stop": full_stop, "is_answer": " ".join(content) in answers, "adds_answer": adds_answer}
 
     out: dict[int, float] = {}
 
@@ -181,10 +184,11 @@ def features(p: Pair, endings: frozenset[int] = frozenset()) -> tuple[dict[int,
 
     seq = _sequence(stripped, _names(p))
     core = list(seq)
-    while core and core[-1] in ".!?\"')":
+    while core and core[-1] in ".!?…\"')":
         core.pop()
     known = max((n for n in range(1, 5) if len(core) >= n and _h(f"{n}:" + " ".join(core[-n:])) in endings), default=0)
     add(f"known:{known}:{full_stop}")
+    add(f"known:{known}:dots:{dots}")
     add(f"known:{known}:{full_stop}:{min(len(core), 5)}")
     grams = [f"w:{a}" for a in seq] + [f"b:{a} {b}" for a, b in zip(seq, seq[1:])] + [f"t:{a} {b} {c}" for a, b, c in zip(seq, seq[1:], seq[2:])]
     if grams:
@@ -266,10 +270,11 @@ def synthesise(rows: list[Pair], seed: int = 7) -> list[tuple[int, Pair, tuple[s
         for _ in range(2):
             cut = _cut_inside(text, rng)
             if cut and set(_sequence(_clean(cut), _names(r))) - set("@#.,"):
-                out.append((i, Pair(q, cut, ans), ("truncated",)))
+                dots = rng.choice(["...", "…"]) if rng.random() < 0.25 else ""
+                out.append((i, Pair(q, cut + dots, ans), ("truncated",)))
         if len(text.split()) > 3:
             bare = re.sub(r"[.!?]\s*$", "", text)
-            out.append((i, Pair(q, bare, ans), ()))
+            out.append((i, Pair(q, bare + (rng.choice(["...", "…"]) if rng.random() < 0.1 else ""), ans), ()))
         if q and rng.random() < 0.6:
             q_only = re.split(r"(?<=[?？])\s*", q)[0]
             shape = rng.choice(["{q}", "{q}", "{q}", "Question: {q}", "Q: {q}", "> {q}", "You asked: {q}", "{q} A:", "{q}\nAnswer:", "Frage: {q} Antwort:", "{q} {q}", '"{q}"'])
@@ -401,11 +406,11 @@ def defects_of(model: DefectModel, pairs: list[Pair]) -> list[list[str]]:
         over = {d for d, x, t in zip(DEFECTS, s, model.thresholds) if x >= t}
         if f["content"] > 2:
             over.discard("empty")
-        if f["covered"] < 0.5 or f["near"] > 3:
+        if f["covered"] < 0.5 or f["near"] > max(3, 0.3 * f["said"]) or f["adds_answer"]:
             over.discard("copied_question")
         if f["own"] is None or not f["wanted"] or f["own"] in f["wanted"]:
             over.discard("other_language")
-        if f["said"] < 2 or f["full_stop"]:
+        if f["said"] < 2 or f["full_stop"] or f["is_answer"]:
             over.discard("truncated")
         for alone in ("empty", "copied_question", "refusal"):
             if alone in over:

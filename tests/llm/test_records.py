@@ -135,7 +135,7 @@ def test_assignment_is_whole_balanced_and_stable(spark):
     ("a", "b", "same"),
     [
         ("  Who - LED it?…", "who led it", True),
-        ("ｗｈｏ　led it", "who led​ it", True),
+        ("ｗｈｏ　led it", "who led\u200b it", True),
         ("café", "café", True),
         ("café", "cafe", False),
         ("Straße", "STRASSE", True),
@@ -159,7 +159,7 @@ def test_formatting_classes_against_brute_force(spark):
 
     def dirt(t):
         r = rng.random()
-        return t.upper() if r < 0.2 else f"« {t} »…" if r < 0.4 else t.replace(" ", "　​") if r < 0.6 else __import__("unicodedata").normalize("NFD", t) if r < 0.8 else t
+        return t.upper() if r < 0.2 else f"« {t} »…" if r < 0.4 else t.replace(" ", "　\u200b") if r < 0.6 else __import__("unicodedata").normalize("NFD", t) if r < 0.8 else t
 
     base = [(" ".join(rng.choices(words, k=rng.randrange(1, 4))), [rng.choice(words) for _ in range(rng.randrange(3))]) for _ in range(60)]
     rows = []
@@ -239,6 +239,8 @@ def test_no_defects(answers):
     q, a = answers[1].question, answers[1].answers
     fine = [a[0], f"{a[0]}.", f"It was {a[0]}; the entry for {NAMES[0]} mentions this directly", f"Question: {q} Answer: {a[0]}"]
     assert pairs.defects_of(model, [pairs.Pair(q, t, a) for t in fine]) == [[]] * len(fine)
+    long = f"According to the notes on {NAMES[0]}, it was {a[0]}. No other name fits both"
+    assert pairs.defects_of(model, [pairs.Pair(q, long, a), pairs.Pair(q, long + " pa...", a), pairs.Pair(q, a[0] + "…", a)]) == [["truncated"], ["truncated"], []]
     broken = [None, "", "N/A", "<p></p>", q, "I'm sorry, but I can't help with that.", "Die Antwort lautet " + a[0] + ", wie es in den Unterlagen über sie steht."]
     got = pairs.defects_of(model, [pairs.Pair(q, t, a) for t in broken])
     assert got == [["empty"]] * 4 + [["copied_question"], ["refusal"], ["other_language"]]
