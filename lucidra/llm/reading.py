@@ -26,6 +26,8 @@ SHARES = (0.5, 0.7, 0.8, 0.9, 0.95)
 BANDS = (1, 2, 3, 4)
 #: Words that make up this share of all words of a language join by broadcast, at most its inverse in number.
 FREQUENT = 2e-4
+#: Documents whose word counts a Python worker holds at a time.
+PIECE = 500
 #: Least share of a text's parts that must be words for it to count as prose.
 PROSE = 0.5
 
@@ -77,14 +79,15 @@ def described(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     numbers = ", ".join(f"{c} double" for c in COMPLEXITY)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for i, t in zip(pdf["doc_id"], pdf["text"]):
-                d = describe(t if isinstance(t, str) else None)
-                if d:
-                    words = [{"word": w, "n": n} for w, n in d["words"].items()]
-                    rows.append((i, d["lang"], d["n_words"], *[d[c] for c in COMPLEXITY], words))
-            yield pd.DataFrame(rows, columns=["doc_id", "lang", "n_words", *COMPLEXITY, "words"])
+        for batch in batches:
+            for lo in range(0, len(batch), PIECE):
+                pdf, rows = batch.iloc[lo : lo + PIECE], []
+                for i, t in zip(pdf["doc_id"], pdf["text"]):
+                    d = describe(t if isinstance(t, str) else None)
+                    if d:
+                        words = [{"word": w, "n": n} for w, n in d["words"].items()]
+                        rows.append((i, d["lang"], d["n_words"], *[d[c] for c in COMPLEXITY], words))
+                yield pd.DataFrame(rows, columns=["doc_id", "lang", "n_words", *COMPLEXITY, "words"])
 
     return df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(
         work, f"doc_id {kind}, lang string, n_words long, {numbers}, words array<struct<word:string,n:long>>"
