@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lucidra.util import cut, drop_cut, skew_join
+from lucidra.util import counted_hot, cut, drop_cut, skew_join
 
 
 def _star_join(edges: DataFrame, share: float) -> DataFrame:
     """``u, v, m`` with m the least of u and its neighbours; hubs with very many edges do not move them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    least = least.select("u", F.least("u", "m").alias("m"))
-    return skew_join(edges, least, "u", "inner", share)
+    stats = cut(edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
+    least = stats.select("u", F.least("u", "m").alias("m"))
+    return skew_join(edges, least, "u", "inner", hot=counted_hot(stats, "u", "n", share))
 
 
 def connected_components(links: DataFrame, row: str, token: str, max_rounds: int = 60, hot_share: float = 0.02) -> DataFrame:
@@ -28,8 +28,9 @@ def connected_components(links: DataFrame, row: str, token: str, max_rounds: int
     """
     pairs = links.select(F.col(row).alias("row"), F.col(token).alias("token")).dropna().distinct()
     pairs = cut(pairs)
-    hubs = pairs.groupBy("token").agg(F.min("row").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    edges = skew_join(pairs, hubs, "token", "inner", hot_share).where("row != hub").select(F.col("row").alias("u"), F.col("hub").alias("v"))
+    hubs = cut(pairs.groupBy("token").agg(F.min("row").alias("hub"), F.count(F.lit(1)).alias("n")))
+    hot = counted_hot(hubs, "token", "n", hot_share)
+    edges = skew_join(pairs, hubs.where("n > 1").drop("n"), "token", "inner", hot=hot).where("row != hub").select(F.col("row").alias("u"), F.col("hub").alias("v"))
     edges = cut(edges.distinct())
     drop_cut(pairs)
 

@@ -72,6 +72,12 @@ def hot_keys(df: DataFrame, key: str, share: float = 0.01) -> list:
     return [r[0] for r in counts.where(F.col("n") >= F.lit(max(2, int(share * total)))).select(key).collect()]
 
 
+def counted_hot(counts: DataFrame, key: str, n: str, share: float = 0.01) -> list:
+    """:func:`hot_keys` where the rows per key are counted already."""
+    total = counts.agg(F.sum(n)).first()[0]
+    return [r[0] for r in counts.where(F.col(n) >= max(2, int(share * total))).select(key).collect()] if total else []
+
+
 def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", share: float = 0.01, hot: list | None = None) -> DataFrame:
     """Equi-join where a few values of ``key`` may hold a large part of ``left``; ``right`` has unique keys.
 
