@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lucidra.util import cut, skew_join
+from lucidra.util import counted_hot, cut, skew_join
 
 _DASHES = "-‐‑‒–−"
 _TOKEN = re.compile(
@@ -129,16 +129,17 @@ def formatting_classes(df: DataFrame, row_id: str, question: str, answers: str)
     """
     base = df.select(F.col(row_id).alias("row_id"), F.col(question).alias("_question"), F.col(answers).alias("_answers"))
     cheap = _cheap_key(base, "_question", "_answers")
-    shared = cheap.groupBy("_inv").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_inv")
-    some = skew_join(cheap, shared, "_inv", "left_semi")
+    counts = cut(cheap.groupBy("_inv").agg(F.count(F.lit(1)).alias("n")))
+    some = skew_join(cheap, counts.where("n > 1").select("_inv"), "_inv", "left_semi", hot=counted_hot(counts, "_inv", "n"))
 
     @F.pandas_udf("string")
     def exact(q: pd.Series, a: pd.Series) -> pd.Series:
         return pd.Series([record_key(x, y) for x, y in zip(q, a)])
 
     keyed = cut(some.select("row_id", exact("_question", "_answers").alias("_key")))
-    classes = keyed.groupBy("_key").agg(F.min("row_id").alias("first_row_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    return skew_join(keyed, classes, "_key").select("row_id", "first_row_id", "copies")
+    classes = cut(keyed.groupBy("_key").agg(F.min("row_id").alias("first_row_id"), F.count(F.lit(1)).alias("copies")))
+    hot = counted_hot(classes, "_key", "copies")
+    return skew_join(keyed, classes.where("copies > 1"), "_key", hot=hot).select("row_id", "first_row_id", "copies")
 
 
 def collapse(df: DataFrame, row_id: str, question: str, answers: str) -> DataFrame:
