@@ -9,6 +9,7 @@ from lucidra.functions import dimensions as dim
 from lucidra.functions import numeric, text
 from lucidra.operators import composition, lineage, records, select
 from lucidra.plans.metric_queries import EDGE, SC, rounded, scored
+from lucidra.plans.shred_queries import certificate_children, certificate_store
 from lucidra.session import load
 
 
@@ -179,12 +180,24 @@ def r1r5_cells(spark: SparkSession, d: str) -> DataFrame:
     return rounded(li.groupBy("r1", "r5").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("accuracy")).withColumn("supported", F.col("n") >= 75))
 
 
+#: What a certificate must record as true before it may claim coverage.
+ASSUMPTIONS = ["calibration_test_exchangeable", "calibration_only_fitting", "scoring_rule_fixed", "true_label_in_fixed_candidate_universe", "coverage_procedure_valid_for_r7_policy"]
+
+
+def _assumptions_hold(spark: SparkSession, d: str) -> DataFrame:
+    """``row_id, hold`` of every certificate with recorded assumptions: all required ones are true and no recorded one is false."""
+    a = certificate_children(certificate_store(spark, d))
+    yes = F.count_distinct(F.when((F.col("child_value") == "true") & F.col("child_key").isin(ASSUMPTIONS), F.col("child_key")))
+    return a.groupBy("row_id").agg(((yes == len(ASSUMPTIONS)) & ~F.bool_or(F.col("child_value") == "false")).alias("hold"))
+
+
 def certificates(spark: SparkSession, d: str) -> DataFrame:
-    """What the certificates may claim, by their recorded fields."""
-    p = load(spark, d, "read_certificate").select(F.try_parse_json("payload").alias("j"))
+    """What the certificates may claim, by their recorded fields and assumptions; an assumption that is not recorded does not hold."""
+    p = load(spark, d, "read_certificate").select("row_id", F.try_parse_json("payload").alias("j"))
     get = lambda k, t: F.try_variant_get("j", f"$.{k}", t)
-    c = p.where("j is not null").select(get("evaluation_track", "string").alias("track"), get("calibration_supported", "boolean").alias("ok"), get("coverage_scope", "string").alias("scope"))
-    return c.select(records.guarantee_status(F.col("track"), F.col("ok"), F.lit(True), F.col("scope")).alias("status")).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    c = p.where("j is not null").select("row_id", get("evaluation_track", "string").alias("track"), get("calibration_supported", "boolean").alias("ok"), get("coverage_scope", "string").alias("scope"))
+    c = c.join(_assumptions_hold(spark, d), "row_id", "left")
+    return c.select(records.guarantee_status(F.col("track"), F.col("ok"), F.col("hold"), F.col("scope")).alias("status")).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
 def linkage(spark: SparkSession, d: str) -> DataFrame:
