@@ -29,6 +29,10 @@ KEY_WORDS, SHARED = 8, 2
 HOT_PAIRS = 10_000
 #: Uncommon words up to which a text is also met by its words with one letter left out.
 FEW_NAMES = 2
+#: Least length of words between which two slips are accepted.
+TWO_SLIPS_FROM = 6
+#: Texts on one side of a block of a hot n-gram.
+BLOCK = 1_000
 #: Texts of one n-gram from which on it may be too large for one task.
 HOT_ROWS = 1_000
 #: Least share of the shorter text's words that must stand in the longer one.
@@ -89,7 +93,7 @@ def slip(a: str, b: str) -> bool:
 
 def two_slips(a: str, b: str) -> bool:
     """Whether a slip in each of two copies of one longer word can explain the difference."""
-    if min(len(a), len(b)) < 6 or abs(len(a) - len(b)) > 2 or any(ch.isdigit() for ch in a + b):
+    if min(len(a), len(b)) < TWO_SLIPS_FROM or abs(len(a) - len(b)) > 2 or any(ch.isdigit() for ch in a + b):
         return False
     near = {a[:i] + a[i + 1 :] for i in range(len(a))} | {a[:i] + a[i + 1] + a[i] + a[i + 2 :] for i in range(len(a) - 1)}
     if any(slip(x, b) for x in near):
@@ -184,15 +188,106 @@ def _slip_pairs(texts: DataFrame) -> DataFrame:
     return left.join(keyed.where("eval").select("key", F.col("text_id").alias("b")), "key").where("a != b").select("a", "b")
 
 
+def left_out(word: str, twice: bool) -> set[str]:
+    """The word itself and what is left of it without one letter (``twice``: and without two); numbers stay whole."""
+    got = {word}
+    if len(word) < 2 or any(ch.isdigit() for ch in word):
+        return got
+    got |= {word[:i] + word[i + 1 :] for i in range(len(word))}
+    if twice and len(word) >= TWO_SLIPS_FROM:
+        got |= {x[:i] + x[i + 1 :] for x in got - {word} for i in range(len(x))}
+    return got
+
+
+def _numbers() -> Column:
+    """Hash of the words with digits; two texts with other such words are never near-same."""
+    return F.xxhash64(F.array_sort(F.filter("words", lambda w: w.rlike(r"\p{Nd}"))))
+
+
+def _forms(df: DataFrame, word: str, twice: bool) -> DataFrame:
+    """``df`` with the distinct ``forms`` of its words, see :func:`left_out`."""
+
+    @F.pandas_udf("array<string>")
+    def forms(w: pd.Series) -> pd.Series:
+        return pd.Series([sorted(left_out(x, twice)) for x in w], dtype=object)
+
+    return df.withColumn("forms", forms(word))
+
+
+def _name_pairs(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``a, b`` that meet by one uncommon word, up to slips; ``text_id`` of the texts that have no word to meet by).
+
+    In a near-same pair all uncommon words of one of the two texts stand in the other one, up to slips. So each
+    text looks for one of its uncommon words, the rarest, among the uncommon words of all texts that have the same
+    numbers, whatever their other words are; words meet in what is left of them without one or two letters.
+    Uncommon words that are a slip away from a common one, such as its misspellings, are not looked for.
+    """
+    names = cut(texts.select("text_id", "train", "eval", _numbers().alias("numbers"), F.explode("names").alias("w")))
+    counts = cut(names.groupBy("w").agg(F.count(F.lit(1)).alias("n")))
+    common = texts.select(F.explode(F.array_distinct(F.array_except("words", "names"))).alias("c")).distinct()
+
+    @F.pandas_udf("boolean")
+    def near(w: pd.Series, c: pd.Series) -> pd.Series:
+        return pd.Series([slip(x, y) for x, y in zip(w, c)], dtype=bool)
+
+    once = _forms(common, "c", False).select("c", F.explode("forms").alias("form"))
+    met = _forms(counts, "w", False).select("w", F.explode("forms").alias("form")).join(once, "form").select("w", "c").distinct()
+    looks = names.join(met.where(near("w", "c")).select("w").distinct(), "w", "left_anti").join(counts, "w")
+    looks = cut(looks.groupBy("text_id").agg(F.min_by("w", F.struct("n", -F.length("w"), "w")).alias("w")))
+    forms = cut(_forms(counts.select("w"), "w", True))
+    keyed = names.join(forms, "w").select("text_id", "train", "eval", "w", "numbers", F.explode("forms").alias("form"))
+    keyed = cut(keyed.select("text_id", "train", "eval", "w", F.xxhash64("numbers", "form").alias("key")).join(looks.withColumn("looks", F.lit(True)), ["text_id", "w"], "left").drop("w"))
+    some = keyed.where("looks").select("key", F.col("text_id").alias("s"), F.col("train").alias("s_train"), F.col("eval").alias("s_eval"))
+    met = some.join(keyed, "key").where("s != text_id")
+    first = met.where("s_train and eval").select(F.col("s").alias("a"), F.col("text_id").alias("b"))
+    second = met.where("train and s_eval").select(F.col("text_id").alias("a"), F.col("s").alias("b"))
+    return first.unionByName(second).distinct(), texts.select("text_id").join(looks.select("text_id"), "text_id", "left_anti")
+
+
+def _block_pairs(texts: DataFrame, nameless: DataFrame, hot: DataFrame) -> DataFrame:
+    """Near-same ``a, b`` of which one text is in ``nameless`` and which share an n-gram (``key``) of ``hot``.
+
+    All pairs with the same numbers are compared, in blocks of ``BLOCK`` by ``BLOCK`` texts. A pair with several
+    of the n-grams in common is compared in the first one only.
+    """
+    all_ = texts.join(nameless.withColumn("nameless", F.lit(True)), "text_id", "left").select("text_id", "train", "eval", "words", "names", "rare", _numbers().alias("numbers"), F.coalesce("nameless", F.lit(False)).alias("nameless"))
+    keyed = all_.select("*", F.explode(_pairs_of("rare")).alias("gram")).withColumn("key", F.xxhash64("gram")).join(hot, "key", "left_semi")
+    sizes = keyed.groupBy("key", "numbers").agg(F.ceil(F.count_if("nameless") / BLOCK).cast("int").alias("l"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("r")).where("l > 0")
+    keyed = cut(keyed.join(sizes, ["key", "numbers"]))
+    own = lambda n: F.pmod(F.xxhash64("text_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = keyed.where("nameless").withColumn("i", own("l")).withColumn("j", every("r"))
+    right = keyed.withColumn("j", own("r")).withColumn("i", every("l"))
+
+    def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        rows = lambda t: [(r.text_id, r.train, r.eval, r.nameless, list(r.words), set(r.names), set(r.rare), sorted(r.gram)) for r in t.itertuples()]
+        out, others = [], rows(y)
+        for p, p_train, p_eval, _, pw, pn, pr, gram in rows(x):
+            for q, q_train, q_eval, q_nameless, qw, qn, qr, _ in others:
+                if p == q or (q_nameless and q < p) or not ((p_train and q_eval) or (q_train and p_eval)) or sorted(pr & qr)[:2] != gram:
+                    continue
+                if p_train and q_eval and same_question(pw, qw, pn, qn):
+                    out.append((p, q))
+                if q_train and p_eval and same_question(qw, pw, qn, pn):
+                    out.append((q, p))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    on = ["key", "numbers", "i", "j"]
+    cols = [*on, "text_id", "train", "eval", "nameless", "words", "names", "rare", "gram"]
+    return left.select(cols).groupBy(*on).cogroup(right.select(cols).groupBy(*on)).applyInPandas(compare, "a binary, b binary")
+
+
 def candidate_pairs(texts: DataFrame) -> DataFrame:
-    """``a, b``: a training and an evaluation text that share rare words.
+    """``a, b``: a training and an evaluation text that share rare words, or an uncommon word up to slips.
 
     An n-gram whose pairs exceed ``HOT_PAIRS`` is extended by one more rare word of each of its texts, again
-    and again up to all ``KEY_WORDS``, so frequent words in common never produce the product of their texts.
+    and again up to all ``KEY_WORDS``. Pairs that have nothing but such n-grams in common meet by an uncommon word,
+    or are compared in blocks if one of the two has none; no pair that shares an n-gram and is near-same is lost.
     """
     gram = F.explode(_pairs_of("rare"))
     keyed = cut(texts.select("text_id", "train", "eval", gram.alias("gram")).select("text_id", "train", "eval", F.xxhash64("gram").alias("key")))
-    grams, out = None, [_slip_pairs(texts)]
+    by_name, nameless = _name_pairs(texts)
+    grams, out = None, [_slip_pairs(texts), by_name]
     for size in range(SHARED, KEY_WORDS + 1):
         if grams is not None:
             grams = cut(grams.withColumn("key", F.xxhash64("gram")))
@@ -212,6 +307,8 @@ def candidate_pairs(texts: DataFrame) -> DataFrame:
         hot = cut(stats.where(F.col("t") * F.col("e") > HOT_PAIRS).select("key"))
         if hot.isEmpty():
             break
+        if size == SHARED:  # a pair of which every n-gram is hot has a hot one of the first size
+            out.append(_block_pairs(texts, nameless, hot))
         if grams is None:  # only now the words themselves are needed, and only of the texts that hold a hot n-gram
             some = skew_join(keyed, hot, "key", "left_semi", hot=crowded).select("text_id").distinct()
             some = texts.select("text_id", "train", "eval", "rare").join(some, "text_id", "left_semi")

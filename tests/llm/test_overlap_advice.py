@@ -1,0 +1,37 @@
+"""Overlaps behind hot words: every pair that the exact check accepts is found."""
+
+import itertools
+
+from lucidra.llm import overlaps
+
+
+def every_pair(rows):
+    """The pairs that the exact check accepts, among all pairs of rows."""
+    bare = {i: overlaps.words(t) for i, t, _ in rows}
+    count = {}
+    for t in {tuple(w) for w in bare.values()}:
+        for w in set(t):
+            count[w] = count.get(w, 0) + 1
+    common = max(overlaps.COMMON_LEAST, overlaps.COMMON_SHARE * len({tuple(w) for w in bare.values()}))
+    names = {i: {w for w in ws if count[w] < common} for i, ws in bare.items()}
+    sides = [[i for i, _, s in rows if s == side] for side in ("train", "eval")]
+    return {(i, j) for i, j in itertools.product(*sides) if overlaps.same_question(bare[i], bare[j], names[i], names[j])}
+
+
+def test_one_name_behind_more_than_hot_pairs_of_words(spark):
+    letters = "bdfgklmnprstvz"
+    made = [a + "o" + b + "u" + c + "ik" + d for a, b, c, d in itertools.product(letters, letters, letters, letters)][::61]
+    rows = [(i, f"What is the capital of {n}?", "train" if i % 2 else "eval") for i, n in enumerate(made[:240])]
+    assert sum(s == "train" for *_, s in rows) * sum(s == "eval" for *_, s in rows) > overlaps.HOT_PAIRS
+    rows += [
+        (1000, "What is the capital of Zivandor?", "train"), (1001, "What is the capital of Zirandol?", "eval"),  # a slip in each
+        (1002, "What is the capital of Welkasbury?", "train"), (1003, "Please: what is the capital of Welkasbry?", "eval"),  # a slip and an added word
+        (1004, "Waht is the capital of Hjalmyra?", "train"), (1005, "what is teh capital of Hjalmyro", "eval"),
+        (1006, "What is the the capital of?", "train"), (1007, "What is the capital?", "eval"),  # no name at all
+        (1008, "What is the capital of Ossewyx in 1835?", "train"), (1009, "What is the capital of Ossewyx in 1836?", "eval"),
+    ]
+    df = spark.createDataFrame(rows, "row_id long, q string, side string")
+    got = {tuple(r) for r in overlaps.overlapping_rows(df, "row_id", "q", "side").collect()}
+    want = every_pair(rows)
+    assert {(1000, 1001), (1002, 1003), (1004, 1005), (1006, 1007)} <= want and (1008, 1009) not in want
+    assert got == want
