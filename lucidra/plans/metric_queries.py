@@ -127,11 +127,6 @@ def r7_decisions(spark: SparkSession, d: str) -> DataFrame:
     return policy.decide_r7(g, "answer", "confidence").groupBy("threshold", "policy_level", "action", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _binned(spark: SparkSession, d: str) -> DataFrame:
-    """Scores in fiftieths, for the isotonic fit and its closed-form counterpart."""
-    return scored(spark, d).withColumn("s", F.floor(F.col("conf") * 50) / 50.0)
-
-
 _ISO = f"""WITH {SC}, h AS (SELECT track, floor(conf * 50) / 50.0 s, count(*) n, sum(y) p FROM sc GROUP BY ALL),
  c AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY s) i, sum(n) OVER (PARTITION BY track ORDER BY s) cn, sum(p) OVER (PARTITION BY track ORDER BY s) cp FROM h),
  m AS (SELECT a.track, x.i, a.i lo, min((b.cp - a.cp + a.p) / (b.cn - a.cn + a.n)::DOUBLE) v FROM c x JOIN c a ON a.track = x.track AND a.i <= x.i JOIN c b ON b.track = x.track AND b.i >= x.i GROUP BY ALL),
@@ -140,7 +135,7 @@ _ISO = f"""WITH {SC}, h AS (SELECT track, floor(conf * 50) / 50.0 s, count(*) n,
 
 def isotonic_fit(spark: SparkSession, d: str) -> DataFrame:
     """The fitted value of each distinct score and track."""
-    t = _binned(spark, d)
+    t = scored(spark, d).withColumn("s", F.col("conf"))
     fitted = isotonic.fit(t, "s", "y", by=BY)
     got = isotonic.apply(t.groupBy("track", "s").agg(F.count(F.lit(1)).alias("n")), "s", fitted, BY)
     return rounded(got.select("track", "s", "n", F.col("calibrated").alias("v")))
@@ -148,10 +143,10 @@ def isotonic_fit(spark: SparkSession, d: str) -> DataFrame:
 
 def isotonic_apply(spark: SparkSession, d: str) -> DataFrame:
     """Brier score before and after calibration, by track."""
-    t = _binned(spark, d)
-    out = isotonic.apply(t, "s", isotonic.fit(t, "s", "y", by=BY), BY)
+    t = scored(spark, d)
+    out = isotonic.apply(t, "conf", isotonic.fit(t, "conf", "y", by=BY), BY)
     err = lambda c: F.avg(F.pow(F.col(c) - F.col("y"), 2))
-    return rounded(out.groupBy("track").agg(F.count(F.lit(1)).alias("n"), err("s").alias("before"), err("calibrated").alias("after")))
+    return rounded(out.groupBy("track").agg(F.count(F.lit(1)).alias("n"), err("conf").alias("before"), err("calibrated").alias("after")))
 
 
 def intervals(spark: SparkSession, d: str) -> DataFrame:

@@ -1,11 +1,25 @@
 """Whole jobs of the registered queries, on small tables of their own."""
 
 import json
+import random
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
-from lucidra.plans import domain_queries
+from lucidra.plans import domain_queries, metric_queries
+
+
+def read_results(path, n, models=7):
+    """Read results with ``n`` scores of three decimals, and their (track, score, correct, model)."""
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "open_ended_stress"]), round(rng.random(), 3), rng.random(), f"m{rng.randrange(models)}") for _ in range(n)]
+    rows = [(t, c, r < c, m) for t, c, r, m in rows]
+    same = ["example_id", "generation_id", "action", "score_kind", "answer"]
+    t = {"row_id": list(range(n)), "track": [r[0] for r in rows], "score": [r[1] for r in rows], "correct": [r[2] for r in rows], "model_snapshot_id": [r[3] for r in rows]}
+    t |= dict.fromkeys(same, ["x"] * n) | {"threshold": [0.5] * n, "candidates": [["x"]] * n}
+    pq.write_table(pa.table(t), path / "read_result_record.parquet")
+    return rows
 
 
 def test_guarantees_need_every_assumption(spark, tmp_path):
@@ -24,3 +38,32 @@ def test_guarantees_need_every_assumption(spark, tmp_path):
         "finite_label_marginal_under_recorded_assumptions": 5, "none_assumptions_not_satisfied": 9, "none_not_claimed": 1,
         "none_unsupported_calibration": 1, "none_open_ended_generated_candidates": 1,
     }
+
+
+def test_isotonic_fits_the_scores_themselves(spark, tmp_path):
+    rows = read_results(tmp_path, 900)
+    sums = {}
+    for track, c, y, _ in rows:
+        n, k = sums.setdefault(track, {}).get(c, (0, 0))
+        sums[track][c] = (n + 1, k + y)
+    want = {}
+    for track, by in sums.items():
+        cs = sorted(by)
+        cum = [(0, 0)]
+        for c in cs:
+            cum.append((cum[-1][0] + by[c][0], cum[-1][1] + by[c][1]))
+        mean = lambda i, j: (cum[j + 1][1] - cum[i][1]) / (cum[j + 1][0] - cum[i][0])  # noqa: E731, B023
+        low = [[0.0] * len(cs) for _ in cs]
+        for i in range(len(cs)):
+            worst = float("inf")
+            for j in range(len(cs) - 1, i - 1, -1):
+                worst = low[i][j] = min(worst, mean(i, j))
+        for x, c in enumerate(cs):
+            want[track, c] = max(low[i][x] for i in range(x + 1))
+    got = {(r.track, r.s): r.v for r in metric_queries.isotonic_fit(spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-8) for k in want)
+    for r in metric_queries.isotonic_apply(spark, str(tmp_path)).collect():
+        mine = [(c, y, want[r.track, c]) for t, c, y, _ in rows if t == r.track]
+        assert r.n == len(mine)
+        assert r.before == pytest.approx(sum((c - y) ** 2 for c, y, _ in mine) / r.n, abs=1e-8)
+        assert r.after == pytest.approx(sum((v - y) ** 2 for _, y, v in mine) / r.n, abs=1e-8)
