@@ -47,7 +47,7 @@ def linear_interval(estimates: DataFrame, value: str, confidence: float = 0.95,
     return estimates.groupBy(*(by or [])).agg(F.percentile(value, tail).alias("lower"), F.percentile(value, 1.0 - tail).alias("upper"))
 
 
-def cluster_bootstrap(df: DataFrame, cluster: str, value: Column, statistic: str = "mean", replicates: int = 200, confidence: float = 0.95, seed: int = 0) -> DataFrame:
+def cluster_bootstrap(df: DataFrame, cluster: str, value: Column, statistic: str = "mean", replicates: int = 2000, confidence: float = 0.95, seed: int = 0) -> DataFrame:
     """One row: ``estimate, lower, upper`` of the mean of ``value`` with whole clusters drawn; an empty input gives no row."""
     sums = df.groupBy(F.col(cluster).alias("_g")).agg(F.sum(value.cast("double")).alias("s"), F.count(F.lit(1)).alias("n"))
     ids = numbered(sums, "_g")
@@ -56,7 +56,7 @@ def cluster_bootstrap(df: DataFrame, cluster: str, value: Column, statistic: str
     return stats.agg((F.sum("s") / F.sum("n")).alias("estimate")).crossJoin(interval(est, "v", confidence))
 
 
-def ratio_bootstrap(df: DataFrame, cluster: str, parts: dict[str, tuple[Column, Column]], replicates: int = 200, confidence: float = 0.95, seed: int = 0) -> DataFrame:
+def ratio_bootstrap(df: DataFrame, cluster: str, parts: dict[str, tuple[Column, Column]], replicates: int = 2000, confidence: float = 0.95, seed: int = 0) -> DataFrame:
     """``metric, estimate, lower, upper`` of several ratios of sums, each rebuilt from summed parts in every replicate."""
     aggs = [F.sum(c.cast("double")).alias(f"{name}_{i}") for name, pair in parts.items() for i, c in enumerate(pair)]
     sums = df.groupBy(F.col(cluster).alias("_g")).agg(*aggs)
@@ -71,7 +71,7 @@ def ratio_bootstrap(df: DataFrame, cluster: str, parts: dict[str, tuple[Column,
     return whole.join(linear_interval(est, "v", confidence, ["metric"]), "metric")
 
 
-def two_sample_difference(df: DataFrame, key: str, value: Column, first: Column, replicates: int = 200, confidence: float = 0.95, seed: int = 0) -> DataFrame:
+def two_sample_difference(df: DataFrame, key: str, value: Column, first: Column, replicates: int = 2000, confidence: float = 0.95, seed: int = 0) -> DataFrame:
     """One row: difference of the means of two groups that are resampled independently of each other."""
     rows = df.select(F.col(key).alias("_g"), value.cast("double").alias("v"), first.alias("f"))
     out = []
@@ -85,7 +85,7 @@ def two_sample_difference(df: DataFrame, key: str, value: Column, first: Column,
     return out[0][1].crossJoin(out[1][1]).select((F.col("e1") - F.col("e0")).alias("estimate")).crossJoin(linear_interval(est, "v", confidence))
 
 
-def paired_aurc(df: DataFrame, cluster: str, first: str, second: str, correct: str, replicates: int = 50, confidence: float = 0.95, seed: int = 0) -> DataFrame:
+def paired_aurc(df: DataFrame, cluster: str, first: str, second: str, correct: str, replicates: int = 2000, confidence: float = 0.95, seed: int = 0) -> DataFrame:
     """One row: AURC of two scores on the same rows, their difference and its cluster bootstrap interval.
 
     Weights per cluster and replicate multiply the score histograms; curves are rebuilt per replicate.

@@ -168,26 +168,26 @@ def holm(spark: SparkSession, d: str) -> DataFrame:
 def cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     """Mean order price with its interval, nations of the customers drawn as clusters."""
     t = load(spark, d, "orders").join(load(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("c_nationkey", "o_totalprice")
-    return rounded(resample.cluster_bootstrap(t, "c_nationkey", F.col("o_totalprice"), replicates=100), 2)
+    return rounded(resample.cluster_bootstrap(t, "c_nationkey", F.col("o_totalprice")), 2)
 
 
 def paired_aurc(spark: SparkSession, d: str) -> DataFrame:
     """The score against the score in tenths, models drawn as clusters."""
     t = scored(spark, d).withColumn("coarse", F.floor(F.col("conf") * 10) / 10.0)
-    return rounded(resample.paired_aurc(t, "model_snapshot_id", "conf", "coarse", "y", replicates=20))
+    return rounded(resample.paired_aurc(t, "model_snapshot_id", "conf", "coarse", "y"))
 
 
 def ratio_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     """Accuracy, acceptance at 0.5 and accuracy of what is accepted, models drawn as clusters."""
     y, ok = F.col("y"), (F.col("conf") >= 0.5).cast("int")
     parts = {"accuracy": (y, F.lit(1)), "acceptance": (ok, F.lit(1)), "accepted_accuracy": (y * ok, ok)}
-    return rounded(resample.ratio_bootstrap(scored(spark, d), "model_snapshot_id", parts, replicates=50))
+    return rounded(resample.ratio_bootstrap(scored(spark, d), "model_snapshot_id", parts))
 
 
 def tail_minus_head(spark: SparkSession, d: str) -> DataFrame:
     """Difference of the accuracies of the two tracks, rows of each resampled by their model."""
     t = scored(spark, d)
-    return rounded(resample.two_sample_difference(t, "model_snapshot_id", F.col("y"), F.col("track") == "open_ended_stress", replicates=50))
+    return rounded(resample.two_sample_difference(t, "model_snapshot_id", F.col("y"), F.col("track") == "open_ended_stress"))
 
 
 QUERIES = {

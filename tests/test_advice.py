@@ -1,12 +1,16 @@
 """Whole jobs of the registered queries, on small tables of their own."""
 
+import hashlib
+import inspect
 import json
+import math
 import random
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from lucidra.operators import resample
 from lucidra.plans import domain_queries, metric_queries
 
 
@@ -67,3 +71,23 @@ def test_isotonic_fits_the_scores_themselves(spark, tmp_path):
         assert r.n == len(mine)
         assert r.before == pytest.approx(sum((c - y) ** 2 for c, y, _ in mine) / r.n, abs=1e-8)
         assert r.after == pytest.approx(sum((v - y) ** 2 for _, y, v in mine) / r.n, abs=1e-8)
+
+
+def test_registered_intervals_have_2000_replicates(spark, tmp_path):
+    rows = read_results(tmp_path, 400)
+    sums = {}
+    for _, _, y, m in rows:
+        n, k = sums.get(m, (0, 0))
+        sums[m] = (n + 1, k + y)
+    parts = [sums[m] for m in sorted(sums)]
+    draw = lambda rep, i: math.floor(int(hashlib.sha256(f"0:{rep}:{i}".encode()).hexdigest()[:16], 16) / 2.0**64 * len(parts))
+    means = []
+    for rep in range(2000):
+        drawn = [parts[draw(rep, i)] for i in range(len(parts))]
+        means.append(sum(k for _, k in drawn) / sum(n for n, _ in drawn))
+    means.sort()
+    at = lambda q: means[math.floor(q * 1999)] + (q * 1999 % 1) * (means[math.floor(q * 1999) + 1] - means[math.floor(q * 1999)])
+    got = {r.metric: r for r in metric_queries.ratio_bootstrap(spark, str(tmp_path)).collect()}["accuracy"]
+    assert (got.lower, got.upper) == (pytest.approx(at(0.025), abs=1e-8), pytest.approx(at(0.975), abs=1e-8))
+    for f in (resample.cluster_bootstrap, resample.ratio_bootstrap, resample.two_sample_difference, resample.paired_aurc):
+        assert inspect.signature(f).parameters["replicates"].default == 2000
