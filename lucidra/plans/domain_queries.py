@@ -13,6 +13,10 @@ from lucidra.plans.shred_queries import certificate_children, certificate_store
 from lucidra.session import load
 
 
+#: Words that stand in the place of an id.
+NO_ID = ["n/a", "na", "none", "not applicable", "tbd", "todo", "unknown"]
+
+
 def _trim(c: str) -> F.Column:
     return F.lower(F.regexp_replace(c, EDGE, ""))
 
@@ -155,11 +159,11 @@ def closure(spark: SparkSession, d: str) -> DataFrame:
 
 
 def exclude_crossing(spark: SparkSession, d: str) -> DataFrame:
-    """Examples excluded because their question, in its most frequent wording per fact, crosses splits."""
-    e = load(spark, d, "example_record").select(
-        F.get_json_object("metadata", "$.source_fact_id").alias("step"), F.col("row_id").alias("parent"), _trim("split").alias("split"), F.lower("question").alias("question")
-    )
-    return lineage.exclude_crossing(e.where("step like 'fact-%' and split is not null and question is not null")).groupBy("round").agg(F.count(F.lit(1)).alias("n"))
+    """Examples excluded because their question, in its most frequent wording per fact, crosses splits; blanks and placeholder words are no facts."""
+    e = load(spark, d, "example_record").withColumn("fact", F.get_json_object("metadata", "$.source_fact_id"))
+    e = e.select(_trim("fact").alias("step"), F.col("row_id").alias("parent"), _trim("split").alias("split"), F.lower("question").alias("question"))
+    known = (F.col("step") != "") & ~F.col("step").isin(NO_ID)
+    return lineage.exclude_crossing(e.where(known & F.col("split").isNotNull() & F.col("question").isNotNull())).groupBy("round").agg(F.count(F.lit(1)).alias("n"))
 
 
 def run_summary(spark: SparkSession, d: str) -> DataFrame:

@@ -91,3 +91,12 @@ def test_registered_intervals_have_2000_replicates(spark, tmp_path):
     assert (got.lower, got.upper) == (pytest.approx(at(0.025), abs=1e-8), pytest.approx(at(0.975), abs=1e-8))
     for f in (resample.cluster_bootstrap, resample.ratio_bootstrap, resample.two_sample_difference, resample.paired_aurc):
         assert inspect.signature(f).parameters["replicates"].default == 2000
+
+
+def test_facts_compare_trimmed_and_in_any_case(spark, tmp_path):
+    facts = ["fact-1", " FACT-1 ", "Unknown", " unknown ", "N/A", "n/a", "", " ", "other-7", "Other-7", "fact-9", None]
+    questions = ["who?", "who?", "what?", "what?", "when?", "when?", "how?", "how?", "why?", "why?", "whom?", "whom?"]
+    splits = ["development", " Test "] * 6
+    rows = {"row_id": list(range(12)), "question": questions, "split": splits, "metadata": [json.dumps({"source_fact_id": f}) for f in facts]}
+    pq.write_table(pa.table(rows), tmp_path / "example_record.parquet")
+    assert [tuple(r) for r in domain_queries.exclude_crossing(spark, str(tmp_path)).collect()] == [(1, 4)]
