@@ -151,10 +151,10 @@ def assign_splits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def closure(spark: SparkSession, d: str) -> DataFrame:
-    """Examples reachable from the deepest workloads along their constituents, by number of steps."""
+    """Examples reachable from the workloads with constituents, by number of steps."""
     w = load(spark, d, "workload_record").select(_trim("example_id").alias("parent"), "constituent_example_ids")
     edges = w.select("parent", F.explode("constituent_example_ids").alias("c")).select("parent", F.lower(F.trim("c")).alias("child")).where("parent is not null and child != ''").distinct()
-    start = w.where(F.size("constituent_example_ids") >= 3).select(F.col("parent").alias("id")).where("id is not null")
+    start = w.where(F.size("constituent_example_ids") > 0).select(F.col("parent").alias("id")).where("id is not null")
     return lineage.closure(start, edges).groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
 
 

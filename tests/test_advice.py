@@ -100,3 +100,10 @@ def test_facts_compare_trimmed_and_in_any_case(spark, tmp_path):
     rows = {"row_id": list(range(12)), "question": questions, "split": splits, "metadata": [json.dumps({"source_fact_id": f}) for f in facts]}
     pq.write_table(pa.table(rows), tmp_path / "example_record.parquet")
     assert [tuple(r) for r in domain_queries.exclude_crossing(spark, str(tmp_path)).collect()] == [(1, 4)]
+
+
+def test_closure_starts_from_every_workload_with_constituents(spark, tmp_path):
+    rows = {"example_id": ["a", "B ", "c", "d", None], "constituent_example_ids": [["x"], ["y", "z"], ["x", "y", "w"], [], ["v"]]}
+    t = pa.table(rows, schema=pa.schema([("example_id", pa.string()), ("constituent_example_ids", pa.list_(pa.string()))]))
+    pq.write_table(t, tmp_path / "workload_record.parquet")
+    assert {tuple(r) for r in domain_queries.closure(spark, str(tmp_path)).collect()} == {(0, 3), (1, 4)}
