@@ -1,6 +1,7 @@
 """Overlaps behind hot words: every pair that the exact check accepts is found."""
 
 import itertools
+import random
 
 from lucidra.llm import overlaps
 
@@ -35,3 +36,16 @@ def test_one_name_behind_more_than_hot_pairs_of_words(spark):
     want = every_pair(rows)
     assert {(1000, 1001), (1002, 1003), (1004, 1005), (1006, 1007)} <= want and (1008, 1009) not in want
     assert got == want
+
+
+def test_mixed_questions_against_the_exact_check_alone(spark):
+    rng = random.Random(11)
+    texts = [f"Which river flows past {a} before the visit of {b} in {y}?" for a, b, y in [(rng.choice("Marolin Vukordes Bolathim Zanodkar".split()), rng.choice("Petragon Havinark Tepassil".split()), rng.randrange(1830, 1836)) for _ in range(40)]]
+    rows = []
+    for i in range(120):
+        t = rng.choice(texts)
+        r = rng.random()
+        t = t.replace("river", "rievr") if r < 0.2 else t.replace("o", "", 1) if r < 0.4 else "Please tell me: " + t if r < 0.6 else t
+        rows.append((i, t, rng.choice(["train", "eval"])))
+    df = spark.createDataFrame(rows, "row_id long, q string, side string")
+    assert {tuple(r) for r in overlaps.overlapping_rows(df, "row_id", "q", "side").collect()} == every_pair(rows)
