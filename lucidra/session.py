@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 def get_session(cpus: str | int = "*", partitions: int | None = None, memory: str = "8g") -> SparkSession:
     """A local session with the settings the operators are tested under.
 
+    Intermediate tables go to ``LUCIDRA_SHARED``, by default a folder of this machine, since the session is local.
     On a cluster pass your own session instead: no operator depends on this one.
     """
     n = partitions or (os.cpu_count() if cpus == "*" else int(cpus))
@@ -21,6 +23,7 @@ def get_session(cpus: str | int = "*", partitions: int | None = None, memory: st
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.checkpoint.dir", os.environ.get("LUCIDRA_SHARED", f"{tempfile.gettempdir()}/lucidra-local"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

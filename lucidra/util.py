@@ -15,7 +15,7 @@ _FOLDERS: dict[str, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     """Folder for intermediate tables: ``spark.checkpoint.dir`` of the session, which all executors share.
 
-    Only where that setting is absent (local tests) a temporary folder of this machine is used.
+    Only where that setting is absent and the master is local (other people's test sessions) a folder of this machine is used.
     Each application writes below its own subfolder, which is removed when the interpreter ends.
     """
     app = spark.sparkContext.applicationId
@@ -24,7 +24,7 @@ def shared_folder(spark: SparkSession) -> str:
         if not root:
             if not spark.sparkContext.master.startswith("local["):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            root = tempfile.mkdtemp(prefix="lucidra-")
+            root = f"{tempfile.gettempdir()}/lucidra-local"
         _FOLDERS[app] = f"{root.rstrip('/')}/lucidra-{app}"
         atexit.register(_remove, spark, _FOLDERS[app])
     return _FOLDERS[app]
@@ -101,8 +101,11 @@ def blank_to_null(c: Column) -> Column:
     return F.when(t != "", t)
 
 
-def spread(df: DataFrame, least: int | None = None) -> DataFrame:
-    """At least as many partitions as the cluster has cores, for stages that are heavy on CPU per row."""
-    sc = df.sparkSession.sparkContext
-    n = max(least or 0, sc.defaultParallelism)
-    return df.repartition(n)
+def spread(df: DataFrame) -> DataFrame:
+    """A scan as it is, unless it has fewer splits than the cluster has cores.
+
+    Only then, for inputs below cores times the size of a split, its rows are spread for stages that are heavy on CPU per
+    row. Larger inputs are never shuffled for it: their splits follow ``spark.sql.files.maxPartitionBytes``.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= n else df.repartition(n)
