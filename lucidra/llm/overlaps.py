@@ -1,11 +1,24 @@
 """Same or near-same records across splits (problem 1).
 
-Two questions are near-same when they ask for the same fact in nearly the same wording. Texts are
-reduced to words (letter case, accents, punctuation, width and blanks set aside) and equal texts are
-collapsed to one class first. Word n-grams are unordered skip-grams over the ``KEY_WORDS`` rarest
-words of a text, rarity counted over all texts: two of them must be shared. Evaluation and training
-texts meet on the hashes of these n-grams, each pair is scored by the containment of the shorter
-text's words in the longer one, and an exact check of numbers, named things and directions follows.
+Two questions are near-same when they ask for the same fact in nearly the same wording. The verdict on
+a pair follows from the two texts and from which words are names, and nothing else (:func:`same_question`):
+
+* at least ``CONTAINMENT`` of the shorter text's words stand in the longer one, up to one-letter slips;
+* both hold the same numbers, and no word that negates or gives a direction is exchanged;
+* all names of one of the two stand in the other one, up to a slip in either (or neither holds a name).
+
+A word is a name unless it is mostly written small inside sentences, counted over the rows that use both
+cases, or mostly follows an article of a language that writes all nouns large; words without such evidence
+(scripts without case, words seen in capitals only) count as names. These are shares of a word's own
+occurrences: how many other texts there are plays no part.
+
+Equal texts are one class. Evaluation and training texts meet on hashes of unordered word n-grams: a name
+of one text, the cheapest to look up, with all numbers of the text. Words are looked up with their
+variants, which are found once for the vocabulary. The rule above makes this complete: of a near-same
+pair one text has all its names, so also its cheapest one, in the other. A text without names is looked up
+by so many of its words that one must be shared at the containment asked for. N-grams with more than
+``HOT`` pairs are extended by a further word in the same manner, and what is still too frequent is
+compared in blocks. The constants decide how pairs are found, never which.
 
 Contiguous five-word shingles at 0.8, the default elsewhere, cannot give the result asked for here:
 one slip in the middle of a 17-word question already breaks five of its 13 shingles.
@@ -15,30 +28,22 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lucidra.util import cut, skew_join
-
-#: Rarest words of a text that form its n-grams, and how many a pair must share at least.
-KEY_WORDS, SHARED = 8, 2
-#: Candidate pairs of one n-gram beyond which it is extended by a further word.
-HOT_PAIRS = 10_000
-#: Uncommon words up to which a text is also met by its words with one letter left out.
-FEW_NAMES = 2
-#: Least length of words between which two slips are accepted.
-TWO_SLIPS_FROM = 6
-#: Texts on one side of a block of a hot n-gram.
+from lucidra.util import counted_hot, cut, skew_join
+
+#: Least share of the shorter text's words that must stand in the longer one, in tenths.
+CONTAINMENT = 8
+#: Candidate pairs of one n-gram beyond which it is extended, and then compared in blocks.
+HOT = 100_000
+#: Rows on one side of a block, and of one text, that meet in one task.
 BLOCK = 1_000
-#: Texts of one n-gram from which on it may be too large for one task.
-HOT_ROWS = 1_000
-#: Least share of the shorter text's words that must stand in the longer one.
-CONTAINMENT = 0.7
-#: A word is common if it stands in this share of all texts, and in this many at least.
-COMMON_SHARE, COMMON_LEAST = 0.001, 6
+#: Least length of words between which two slips are accepted; words beyond the longest length have no slips at all.
+TWO_SLIPS_FROM, SLIPS_UP_TO = 6, 32
 
 # Words that give the direction asked, by language; two texts that differ in one of them differ in what they ask.
 DIRECTIONS = frozenset(
@@ -66,21 +71,56 @@ DIRECTIONS = frozenset(
 # Words that turn a question round when only one of two texts has them.
 NEGATIONS = frozenset("not never no nicht nie niemals kein keine keinen jamais nunca".split())
 
+#: What ends a part of a text: the first word after it is written large for that reason alone.
+_ENDS = re.compile(r"[.!?:;–—\"“„«»()¿¡>*]|(?<=\s)-(?=\s)|\n")
+#: Parts of up to so many words that go on small ("Quick one -", "Answer briefly.") open with an ordinary word, not a name.
+LEAD = 4
+#: Share of a word's large occurrences after an article from which on it is a noun and no name.
+NOUN = 0.8
+# Articles before which a language that writes all nouns large shows a noun to be no name.
+ARTICLES = frozenset("der die das den dem des ein eine einen einem einer eines im am zum zur beim vom ins".split())
 
-def words(text: str | None) -> list[str]:
-    """Words in lower case without accents, punctuation and invisible characters."""
+
+def cased_words(text: str | None) -> tuple[list[str], str]:
+    """Words in lower case without accents, punctuation and invisible characters, and for each how it was written.
+
+    ``U`` large and ``l`` small inside a part of a text that uses both, ``A`` large after an article, ``-`` where nothing follows from it.
+    """
     if not text:
-        return []
-    t = unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", text).casefold())
-    t = "".join(ch for ch in t if unicodedata.category(ch) not in ("Mn", "Me", "Cf"))
-    return re.findall(r"\w+", t.replace("_", " "))
+        return [], ""
+    t = text
+    if not t.isascii():
+        t = unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", t))
+        t = "".join(ch for ch in t if unicodedata.category(ch) not in ("Mn", "Me", "Cf"))
+    found, marks, before = [], [], ""
+    for part in _ENDS.split(t.replace("_", " ")):
+        said = re.findall(r"\w+", part)
+        for i, w in enumerate(said):
+            low = w.casefold()
+            if i == 0:
+                lead = 1 < len(said) <= LEAD and w[0].isupper() and all(x[0].islower() for x in said[1:])
+                marks.append("l" if lead or w[0].islower() else "-")
+            elif w[0].isupper() and not w[1:].isupper():
+                marks.append("A" if before in ARTICLES else "U")
+            else:
+                marks.append("l" if w[0].islower() else "-")
+            found.append(low)
+            before = low
+    if not {"U", "A"} & set(marks) or "l" not in marks:
+        marks = ["-"] * len(marks)
+    return found, "".join(marks)
+
+
+def words(text: str | None) -> list[str]:
+    """The words of :func:`cased_words`."""
+    return cased_words(text)[0]
 
 
 def slip(a: str, b: str) -> bool:
     """Whether one letter changed, added, left out or two neighbours swapped turn ``a`` into ``b``; numbers have no slips."""
     if a == b:
         return True
-    if abs(len(a) - len(b)) > 1 or min(len(a), len(b)) < 2 or any(ch.isdigit() for ch in a + b):
+    if abs(len(a) - len(b)) > 1 or min(len(a), len(b)) < 2 or max(len(a), len(b)) > SLIPS_UP_TO or any(ch.isdigit() for ch in a + b):
         return False
     i = 0
     while i < min(len(a), len(b)) and a[i] == b[i]:
@@ -93,7 +133,7 @@ def slip(a: str, b: str) -> bool:
 
 def two_slips(a: str, b: str) -> bool:
     """Whether a slip in each of two copies of one longer word can explain the difference."""
-    if min(len(a), len(b)) < TWO_SLIPS_FROM or abs(len(a) - len(b)) > 2 or any(ch.isdigit() for ch in a + b):
+    if min(len(a), len(b)) < TWO_SLIPS_FROM or max(len(a), len(b)) > SLIPS_UP_TO or abs(len(a) - len(b)) > 2 or any(ch.isdigit() for ch in a + b):
         return False
     near = {a[:i] + a[i + 1 :] for i in range(len(a))} | {a[:i] + a[i + 1] + a[i] + a[i + 2 :] for i in range(len(a) - 1)}
     if any(slip(x, b) for x in near):
@@ -101,251 +141,274 @@ def two_slips(a: str, b: str) -> bool:
     return len(a) == len(b) and sum(x != y for x, y in zip(a, b)) <= 2
 
 
-def same_question(a: list[str], b: list[str], rare_a: set[str], rare_b: set[str]) -> bool:
-    """The exact check of one pair of word lists; ``rare_*`` are the words that may name things."""
-    ca, cb = Counter(a), Counter(b)
-    left_a, left_b = list((ca - cb).elements()), list((cb - ca).elements())
-    shared = len(a) - len(left_a)
-    for x in list(left_a):
-        for y in left_b:
-            if slip(x, y) and not (x in DIRECTIONS and y in DIRECTIONS):
-                left_a.remove(x)
-                left_b.remove(y)
-                shared += 1
+def left_out(word: str, twice: bool = True) -> set[str]:
+    """The word and what is left of it without one letter, or (``twice``) two if it is long: words within so many slips share one of these."""
+    got = {word}
+    if len(word) < 2 or len(word) > SLIPS_UP_TO or any(ch.isdigit() for ch in word):
+        return got
+    got |= {word[:i] + word[i + 1 :] for i in range(len(word))}
+    if twice and len(word) >= TWO_SLIPS_FROM:
+        got |= {x[:i] + x[i + 1 :] for x in got - {word} for i in range(len(x))}
+    return got
+
+
+def _matched(left_a: list[str], left_b: list[str], alike) -> list[tuple[str, str]]:
+    """Pairs of words of the two lists that are ``alike``, each used once; found by common remainders."""
+    by_form: dict[str, list[int]] = defaultdict(list)
+    for j, y in enumerate(left_b):
+        for f in left_out(y):
+            by_form[f].append(j)
+    used, out = set(), []
+    for x in left_a:
+        for j in sorted({j for f in left_out(x) for j in by_form.get(f, ())} - used):
+            if alike(x, left_b[j]):
+                used.add(j)
+                out.append((x, left_b[j]))
                 break
-    if any(ch.isdigit() for x in left_a + left_b for ch in x):
+    return out
+
+
+def same_question(a: list[str], b: list[str], names_a: set[str], names_b: set[str]) -> bool:
+    """The rule of the module text for one pair of word lists; ``names_*`` are the names among their words."""
+    ca, cb = Counter(a), Counter(b)
+    left_a, left_b = ca - cb, cb - ca
+    shared, least = len(a) - left_a.total(), -(-CONTAINMENT * min(len(a), len(b)) // 10)
+    if shared + min(left_a.total(), left_b.total()) < least:
         return False
-    if not NEGATIONS.isdisjoint(left_a + left_b):
+    slips = _matched(list(left_a.elements()), list(left_b.elements()), lambda x, y: slip(x, y) and not (x in DIRECTIONS and y in DIRECTIONS))
+    left_a -= Counter(x for x, _ in slips)
+    left_b -= Counter(y for _, y in slips)
+    if any(ch.isdigit() for w in (*left_a, *left_b) for ch in w):
         return False
-    if not DIRECTIONS.isdisjoint(left_a) and not DIRECTIONS.isdisjoint(left_b):
+    if not NEGATIONS.isdisjoint(left_a) or not NEGATIONS.isdisjoint(left_b):
         return False
-    names_a, names_b = [x for x in left_a if x in rare_a], [x for x in left_b if x in rare_b]
-    for x in list(names_a):
-        for y in names_b:
-            if two_slips(x, y):
-                names_a.remove(x)
-                names_b.remove(y)
-                break
-    if names_a and names_b:
+    if not DIRECTIONS.isdisjoint(left_a) and not DIRECTIONS.isdisjoint(left_b):
         return False
-    return shared >= CONTAINMENT * min(len(a), len(b))
+    twice = _matched([w for w in left_a.elements() if w in names_a], [w for w in left_b.elements() if w in names_b], two_slips)
+    left_a -= Counter(x for x, _ in twice)
+    left_b -= Counter(y for _, y in twice)
+    if names_a or names_b:
+        if not (names_a and names_a.isdisjoint(left_a)) and not (names_b and names_b.isdisjoint(left_b)):
+            return False
+    return shared + len(slips) + len(twice) >= least
 
 
-def _classes(df: DataFrame, row_id: str, text: str, side: str) -> tuple[DataFrame, DataFrame]:
-    """(members: row_id, side, text_id; texts: text_id, words, train, eval). Texts without words ask for nothing."""
+def _read(df: DataFrame, row_id: str, text: str, side: str) -> DataFrame:
+    """``row_id, side, text_id, bare, marks`` of the rows of both sides; texts without words ask for nothing."""
 
-    @F.pandas_udf("string")
-    def bare(t: pd.Series) -> pd.Series:
-        return t.map(lambda x: " ".join(words(x)))
+    @F.pandas_udf("bare string, marks string")
+    def bare(t: pd.Series) -> pd.DataFrame:
+        got = [cased_words(x) for x in t]
+        return pd.DataFrame({"bare": [" ".join(w) for w, _ in got], "marks": [m for _, m in got]})
 
-    rows = df.select(F.col(row_id).alias("row_id"), F.col(side).alias("side"), bare(text).alias("bare"))
-    rows = cut(rows.where("side is not null and bare != ''").withColumn("text_id", F.unhex(F.md5("bare"))))
-    texts = rows.groupBy("text_id").agg(
-        F.first("bare").alias("bare"), F.bool_or(F.col("side") == "train").alias("train"), F.bool_or(F.col("side") == "eval").alias("eval")
-    )
-    return rows.select("row_id", "side", "text_id"), cut(texts.select("text_id", F.split("bare", " ").alias("words"), "train", "eval"))
-
-
-def _with_rarity(texts: DataFrame) -> DataFrame:
-    """Adds ``rare``: the ``KEY_WORDS`` rarest words in the order of rarity, and ``names``: all words that are not common."""
-    total = texts.count()
-    common = max(COMMON_LEAST, COMMON_SHARE * total)
-    each = texts.select("text_id", F.explode(F.array_distinct("words")).alias("word"))
-    counts = cut(each.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
-    ranked = skew_join(each, counts, "word", "inner", 0.001)
-    by_text = ranked.groupBy("text_id").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("ranked"))
-    return texts.join(by_text, "text_id").select(
-        "text_id",
-        "words",
-        "train",
-        "eval",
-        F.slice(F.col("ranked")["word"], 1, KEY_WORDS).alias("rare"),
-        F.filter("ranked", lambda r: r["n"] < F.lit(common))["word"].alias("names"),
-    )
+    rows = df.where(F.col(side).isin("train", "eval")).select(F.col(row_id).alias("row_id"), F.col(side).alias("side"), bare(text).alias("x")).select("row_id", "side", "x.*")
+    return cut(rows.where("bare != ''").withColumn("text_id", F.unhex(F.md5("bare"))))
 
 
-def _pairs_of(words_col: str) -> Column:
-    """All unordered pairs of the words of an array, as sorted arrays."""
-    w = F.col(words_col)
-    n = F.size(w)
-    return F.flatten(
-        F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.slice(w, i + 1, n), lambda y: F.array_sort(F.array(F.element_at(w, i), y))))
-    )
+def _numbers(words_col: str) -> Column:
+    """Hash of the words with digits; two texts with other such words are never near-same."""
+    return F.xxhash64(F.array_sort(F.filter(words_col, lambda w: w.rlike(r"\p{Nd}"))))
+
+
+def _texts(rows: DataFrame) -> DataFrame:
+    """One row for each different text: ``text_id, train, eval, words, numbers``."""
+    texts = rows.groupBy("text_id").agg(F.first("bare").alias("bare"), F.bool_or(F.col("side") == "train").alias("train"), F.bool_or(F.col("side") == "eval").alias("eval"))
+    return cut(texts.select("text_id", "train", "eval", F.split("bare", " ").alias("words")).withColumn("numbers", _numbers("words")))
+
 
+def _names(rows: DataFrame) -> DataFrame:
+    """``word, name, n`` of all words, see the module text."""
+    zipped = F.explode(F.arrays_zip(F.split("bare", " ").alias("w"), F.split("marks", "").alias("m")))
+    each = rows.select(zipped.alias("x")).select(F.col("x.w").alias("word"), F.col("x.m").alias("m")).where("word is not null")
+    counts = each.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("m").isin("U", "A")).alias("large"), F.count_if(F.col("m") == "A").alias("article"), F.count_if(F.col("m") == "l").alias("small"))
+    large = (F.col("large") > F.col("small")) | (F.col("small") == 0)
+    noun = (F.col("large") > 0) & (F.col("article") >= NOUN * F.col("large"))
+    return cut(counts.select("word", (large & ~noun).alias("name"), "n"))
 
-def _slip_pairs(texts: DataFrame) -> DataFrame:
-    """``a, b`` of texts with at most ``FEW_NAMES`` uncommon words that differ in one letter of one of their rare words.
 
-    Such texts may share frequent words only. Each rare word is left out in turn, with and without each of its
-    letters, beside the hash of the others; a slip or a swap of neighbours meets in one of these keys.
+def _grams(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """``key, word, name, cost, near`` of every word with all numbers of a text that holds it.
+
+    ``near`` are the keys of the n-grams of the same numbers with a word that shares a remainder (itself among them),
+    so at least all variants; ``cost`` counts the texts that hold one of these.
     """
-    few = texts.where(F.size("names") <= FEW_NAMES).select("text_id", "train", "eval", "rare", F.explode("rare").alias("w"))
-    spots = F.sequence(F.lit(1), F.length("w"))
-    forms = F.concat(F.array("w"), F.transform(spots, lambda i: F.concat(F.substring(F.col("w"), F.lit(1), i - 1), F.substring(F.col("w"), i + 1, F.length("w")))))
-    keyed = few.select("text_id", "train", "eval", F.array_sort(F.array_except("rare", F.array("w"))).alias("rest"), F.explode(F.array_distinct(forms)).alias("form"))
-    keyed = keyed.select("text_id", "train", "eval", F.xxhash64("rest", "form").alias("key"))
-    left = keyed.where("train").select("key", F.col("text_id").alias("a"))
-    return left.join(keyed.where("eval").select("key", F.col("text_id").alias("b")), "key").where("a != b").select("a", "b")
+    terms = texts.select("numbers", F.explode(F.array_distinct("words")).alias("word")).groupBy("word", "numbers").agg(F.count(F.lit(1)).alias("n"))
+    terms = skew_join(terms, names.select("word", "name"), "word", hot=counted_hot(names, "word", "n", 0.005))
+    terms = cut(terms.select(F.xxhash64("word", "numbers").alias("key"), "word", "numbers", "name", "n"))
 
+    @F.pandas_udf("array<string>")
+    def remainders(w: pd.Series, name: pd.Series) -> pd.Series:
+        return pd.Series([sorted(left_out(x, y)) for x, y in zip(w, name)], dtype=object)
 
-def left_out(word: str, twice: bool) -> set[str]:
-    """The word itself and what is left of it without one letter (``twice``: and without two); numbers stay whole."""
-    got = {word}
-    if len(word) < 2 or any(ch.isdigit() for ch in word):
-        return got
-    got |= {word[:i] + word[i + 1 :] for i in range(len(word))}
-    if twice and len(word) >= TWO_SLIPS_FROM:
-        got |= {x[:i] + x[i + 1 :] for x in got - {word} for i in range(len(x))}
-    return got
+    forms = terms.select("key", "word", "name", "n", "numbers", F.explode(remainders("word", "name")).alias("f"))
+    forms = cut(forms.select("key", "n", F.xxhash64("f", "numbers").alias("f")))
+    met = forms.join(forms.select(F.col("key").alias("k"), F.col("n").alias("m"), "f"), "f").where("key != k").select("key", "k", "m").distinct()
+    near = met.groupBy("key").agg(F.collect_list("k").alias("others"), F.sum("m").alias("more"))
+    cost = F.col("n") + F.coalesce("more", F.lit(0))
+    return cut(terms.join(near, "key", "left").select("key", "word", "name", "n", cost.alias("cost"), F.concat(F.array("key"), F.coalesce("others", F.array().cast("array<long>"))).alias("near")))
 
 
-def _numbers() -> Column:
-    """Hash of the words with digits; two texts with other such words are never near-same."""
-    return F.xxhash64(F.array_sort(F.filter("words", lambda w: w.rlike(r"\p{Nd}"))))
+def _described(texts: DataFrame, grams: DataFrame) -> DataFrame:
+    """The texts with ``names``, ``probe``, ``prefix``, ``spare`` and ``keys``, the n-grams of all their words.
 
+    ``probe`` is the n-gram of the name that costs least to look up, null without names; ``prefix`` holds the cheapest
+    n-grams, two more than the words that may be missing (``spare``) when a text is contained in another one.
+    """
+    each = texts.select("text_id", F.explode(F.transform(F.array_distinct("words"), lambda w: F.xxhash64(w, "numbers"))).alias("key"))
+    ranked = skew_join(each, grams.select("key", "word", "name", "cost"), "key", hot=counted_hot(grams, "key", "n"))
+    ranked = ranked.groupBy("text_id").agg(F.array_sort(F.collect_list(F.struct("cost", "key", "word", "name"))).alias("r"))
+    spare = F.floor(F.size("words") * F.lit(10 - CONTAINMENT) / 10).cast("int")
+    named = F.filter("r", lambda x: x["name"])
+    return cut(
+        texts.join(ranked, "text_id").select(
+            "text_id", "train", "eval", "words", named["word"].alias("names"), F.try_element_at(named, F.lit(1))["key"].alias("probe"), F.slice(F.col("r")["key"], F.lit(1), spare + 2).alias("prefix"), spare.alias("spare"), F.col("r")["key"].alias("keys")
+        )
+    )
 
-def _forms(df: DataFrame, word: str, twice: bool) -> DataFrame:
-    """``df`` with the distinct ``forms`` of its words, see :func:`left_out`."""
 
-    @F.pandas_udf("array<string>")
-    def forms(w: pd.Series) -> pd.Series:
-        return pd.Series([sorted(left_out(x, twice)) for x in w], dtype=object)
+def _looked_up(probes: DataFrame, grams: DataFrame) -> DataFrame:
+    """``probes`` with one row for each variant of their n-gram ``gram``, as ``key``."""
+    counts = cut(probes.groupBy("gram").agg(F.count(F.lit(1)).alias("n")))
+    near = grams.select(F.col("key").alias("gram"), "near")
+    return skew_join(probes, near, "gram", hot=counted_hot(counts, "gram", "n")).withColumn("key", F.explode("near")).drop("near", "gram")
 
-    return df.withColumn("forms", forms(word))
 
+def _meet(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``a, b`` of a training and an evaluation text with a common ``key``; the keys with more than ``HOT`` pairs, which are left to the caller)."""
+    l, r = cut(left), cut(right)  # noqa: E741
+    tally = lambda t, p: t.groupBy("key").agg(F.count_if("train").alias(f"{p}t"), F.count_if("eval").alias(f"{p}e"))
+    counts = tally(l, "l").join(tally(r, "r"), "key").withColumn("n", F.col("lt") * F.col("re") + F.col("le") * F.col("rt")).where("n > 0")
+    counts = cut(counts.select("key", "n"))
+    usable = counts.where(F.col("n") <= HOT).select("key")
+    x = l.join(usable, "key", "left_semi").select("key", F.col("text_id").alias("x"), F.col("train").alias("xt"), F.col("eval").alias("xe"))
+    y = r.join(usable, "key", "left_semi").select("key", F.col("text_id").alias("y"), F.col("train").alias("yt"), F.col("eval").alias("ye"))
+    met = x.join(y, "key").where("x != y and ((xt and ye) or (xe and yt))")
+    return _directed(met), cut(counts.where(F.col("n") > HOT).select("key"))
 
-def _name_pairs(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(``a, b`` that meet by one uncommon word, up to slips; ``text_id`` of the texts that have no word to meet by).
 
-    In a near-same pair all uncommon words of one of the two texts stand in the other one, up to slips. So each
-    text looks for one of its uncommon words, the rarest, among the uncommon words of all texts that have the same
-    numbers, whatever their other words are; words meet in what is left of them without one or two letters.
-    Uncommon words that are a slip away from a common one, such as its misspellings, are not looked for.
-    """
-    names = cut(texts.select("text_id", "train", "eval", _numbers().alias("numbers"), F.explode("names").alias("w")))
-    counts = cut(names.groupBy("w").agg(F.count(F.lit(1)).alias("n")))
-    common = texts.select(F.explode(F.array_distinct(F.array_except("words", "names"))).alias("c")).distinct()
+def _directed(met: DataFrame) -> DataFrame:
+    first = F.when(F.expr("xt and ye"), F.struct(F.col("x").alias("a"), F.col("y").alias("b")))
+    second = F.when(F.expr("xe and yt"), F.struct(F.col("y").alias("a"), F.col("x").alias("b")))
+    return met.select(F.explode(F.array_compact(F.array(first, second))).alias("p")).select("p.a", "p.b").distinct()
 
-    @F.pandas_udf("boolean")
-    def near(w: pd.Series, c: pd.Series) -> pd.Series:
-        return pd.Series([slip(x, y) for x, y in zip(w, c)], dtype=bool)
-
-    once = _forms(common, "c", False).select("c", F.explode("forms").alias("form"))
-    met = _forms(counts, "w", False).select("w", F.explode("forms").alias("form")).join(once, "form").select("w", "c").distinct()
-    looks = names.join(met.where(near("w", "c")).select("w").distinct(), "w", "left_anti").join(counts, "w")
-    looks = cut(looks.groupBy("text_id").agg(F.min_by("w", F.struct("n", -F.length("w"), "w")).alias("w")))
-    forms = cut(_forms(counts.select("w"), "w", True))
-    keyed = names.join(forms, "w").select("text_id", "train", "eval", "w", "numbers", F.explode("forms").alias("form"))
-    keyed = cut(keyed.select("text_id", "train", "eval", "w", F.xxhash64("numbers", "form").alias("key")).join(looks.withColumn("looks", F.lit(True)), ["text_id", "w"], "left").drop("w"))
-    some = keyed.where("looks").select("key", F.col("text_id").alias("s"), F.col("train").alias("s_train"), F.col("eval").alias("s_eval"))
-    met = some.join(keyed, "key").where("s != text_id")
-    first = met.where("s_train and eval").select(F.col("s").alias("a"), F.col("text_id").alias("b"))
-    second = met.where("train and s_eval").select(F.col("text_id").alias("a"), F.col("s").alias("b"))
-    return first.unionByName(second).distinct(), texts.select("text_id").join(looks.select("text_id"), "text_id", "left_anti")
-
-
-def _block_pairs(texts: DataFrame, nameless: DataFrame, hot: DataFrame) -> DataFrame:
-    """Near-same ``a, b`` of which one text is in ``nameless`` and which share an n-gram (``key``) of ``hot``.
-
-    All pairs with the same numbers are compared, in blocks of ``BLOCK`` by ``BLOCK`` texts. A pair with several
-    of the n-grams in common is compared in the first one only.
-    """
-    all_ = texts.join(nameless.withColumn("nameless", F.lit(True)), "text_id", "left").select("text_id", "train", "eval", "words", "names", "rare", _numbers().alias("numbers"), F.coalesce("nameless", F.lit(False)).alias("nameless"))
-    keyed = all_.select("*", F.explode(_pairs_of("rare")).alias("gram")).withColumn("key", F.xxhash64("gram")).join(hot, "key", "left_semi")
-    sizes = keyed.groupBy("key", "numbers").agg(F.ceil(F.count_if("nameless") / BLOCK).cast("int").alias("l"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("r")).where("l > 0")
-    keyed = cut(keyed.join(sizes, ["key", "numbers"]))
+
+def _block_pairs(left: DataFrame, right: DataFrame, texts: DataFrame, hot: DataFrame) -> DataFrame:
+    """Near-same ``a, b`` with a common ``key`` of ``hot``: all its pairs are compared, in blocks of ``BLOCK`` by ``BLOCK`` texts, and only the near-same ones leave the block."""
+    l, r = (cut(t.join(hot, "key", "left_semi").select("key", "text_id").distinct()) for t in (left, right))
+    sizes = l.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nl")).join(r.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nr")), "key")
+    sizes = cut(sizes)
     own = lambda n: F.pmod(F.xxhash64("text_id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = keyed.where("nameless").withColumn("i", own("l")).withColumn("j", every("r"))
-    right = keyed.withColumn("j", own("r")).withColumn("i", every("l"))
+    wide = texts.select("text_id", "train", "eval", "words", "names")
+    cols = ["key", "i", "j", "text_id", "train", "eval", "words", "names"]
+    ls = l.join(sizes, "key").withColumn("i", own("nl")).withColumn("j", every("nr")).join(wide, "text_id").select([F.col(c).alias(c) for c in cols])
+    rs = r.join(sizes, "key").withColumn("j", own("nr")).withColumn("i", every("nl")).join(wide, "text_id").select([F.col(c).alias(c) for c in cols])
 
     def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        rows = lambda t: [(r.text_id, r.train, r.eval, r.nameless, list(r.words), set(r.names), set(r.rare), sorted(r.gram)) for r in t.itertuples()]
+        rows = lambda t: [(k, tr, ev, list(w), set(n)) for k, tr, ev, w, n in zip(t["text_id"], t["train"], t["eval"], t["words"], t["names"])]
         out, others = [], rows(y)
-        for p, p_train, p_eval, _, pw, pn, pr, gram in rows(x):
-            for q, q_train, q_eval, q_nameless, qw, qn, qr, _ in others:
-                if p == q or (q_nameless and q < p) or not ((p_train and q_eval) or (q_train and p_eval)) or sorted(pr & qr)[:2] != gram:
-                    continue
-                if p_train and q_eval and same_question(pw, qw, pn, qn):
-                    out.append((p, q))
-                if q_train and p_eval and same_question(qw, pw, qn, pn):
-                    out.append((q, p))
+        for p, p_train, p_eval, pw, pn in rows(x):
+            for q, q_train, q_eval, qw, qn in others:
+                if p != q and ((p_train and q_eval) or (p_eval and q_train)) and same_question(pw, qw, pn, qn):
+                    out += ([(p, q)] if p_train and q_eval else []) + ([(q, p)] if p_eval and q_train else [])
         return pd.DataFrame(out, columns=["a", "b"])
 
-    on = ["key", "numbers", "i", "j"]
-    cols = [*on, "text_id", "train", "eval", "nameless", "words", "names", "rare", "gram"]
-    return left.select(cols).groupBy(*on).cogroup(right.select(cols).groupBy(*on)).applyInPandas(compare, "a binary, b binary")
-
+    return ls.groupBy("key", "i", "j").cogroup(rs.groupBy("key", "i", "j")).applyInPandas(compare, "a binary, b binary")
 
-def candidate_pairs(texts: DataFrame) -> DataFrame:
-    """``a, b``: a training and an evaluation text that share rare words, or an uncommon word up to slips.
 
-    An n-gram whose pairs exceed ``HOT_PAIRS`` is extended by one more rare word of each of its texts, again
-    and again up to all ``KEY_WORDS``. Pairs that have nothing but such n-grams in common meet by an uncommon word,
-    or are compared in blocks if one of the two has none; no pair that shares an n-gram and is near-same is lost.
-    """
-    gram = F.explode(_pairs_of("rare"))
-    keyed = cut(texts.select("text_id", "train", "eval", gram.alias("gram")).select("text_id", "train", "eval", F.xxhash64("gram").alias("key")))
-    by_name, nameless = _name_pairs(texts)
-    grams, out = None, [_slip_pairs(texts), by_name]
-    for size in range(SHARED, KEY_WORDS + 1):
-        if grams is not None:
-            grams = cut(grams.withColumn("key", F.xxhash64("gram")))
-            keyed = grams.select("text_id", "train", "eval", "key")
-        counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if("train").alias("t"), F.count_if("eval").alias("e"))
-        stats = cut(counts.where(f"n >= {HOT_ROWS} or (t > 0 and e > 0)"))
-        crowded = [r[0] for r in stats.where(F.col("n") >= max(HOT_ROWS, int(0.01 * keyed.count()))).select("key").collect()]
-        stats = stats.where("t > 0 and e > 0")
-        last = size == KEY_WORDS
-        fit = stats if last else stats.where(F.col("t") * F.col("e") <= HOT_PAIRS)
-        useful = cut(skew_join(keyed, fit.select("key"), "key", "left_semi", hot=crowded))
-        left = useful.where("train").select("key", F.col("text_id").alias("a"))
-        right = useful.where("eval").select("key", F.col("text_id").alias("b"))
-        out.append(left.join(right, "key").where("a != b").select("a", "b"))
-        if last:
-            break
-        hot = cut(stats.where(F.col("t") * F.col("e") > HOT_PAIRS).select("key"))
-        if hot.isEmpty():
-            break
-        if size == SHARED:  # a pair of which every n-gram is hot has a hot one of the first size
-            out.append(_block_pairs(texts, nameless, hot))
-        if grams is None:  # only now the words themselves are needed, and only of the texts that hold a hot n-gram
-            some = skew_join(keyed, hot, "key", "left_semi", hot=crowded).select("text_id").distinct()
-            some = texts.select("text_id", "train", "eval", "rare").join(some, "text_id", "left_semi")
-            grams = some.select("text_id", "train", "eval", "rare", gram.alias("gram")).withColumn("key", F.xxhash64("gram"))
-        again = skew_join(grams, hot, "key", "left_semi", hot=crowded)
-        more = F.transform(F.array_except("rare", "gram"), lambda w: F.array_sort(F.concat("gram", F.array(w))))
-        grams = again.select("text_id", "train", "eval", "rare", F.explode(more).alias("gram")).distinct()
-    pairs = out[0]
-    for p in out[1:]:
-        pairs = pairs.unionByName(p)
-    return pairs.distinct()
+def _held(names: str, said: str) -> Column:
+    """Whether all names may stand in another text: each has a word within as many edits as slips can make."""
+    edits = lambda n: F.when(F.length(n) < TWO_SLIPS_FROM, 2).otherwise(4)
+    return (F.size(names) > 0) & F.forall(names, lambda n: F.array_contains(said, n) | F.exists(said, lambda w: (F.abs(F.length(n) - F.length(w)) <= 2) & (F.levenshtein(n, w) <= edits(n))))
 
 
-def overlapping_texts(df: DataFrame, row_id: str, text: str, side: str) -> tuple[DataFrame, DataFrame]:
-    """(links, members): near-same pairs of different texts as ``a`` (training), ``b`` (evaluation), and the rows of each text.
-
-    ``side`` is ``train``, ``eval`` or null (in neither). Equal texts are one class; a class with rows on both
-    sides overlaps with itself and appears as the pair (a, a).
-    """
-    members, texts = _classes(df, row_id, text, side)
-    texts = cut(_with_rarity(texts))
-    pairs = cut(candidate_pairs(texts))
+def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The near-same ones of candidate pairs; most others fall to :func:`_held` inside the JVM."""
     a = texts.select(F.col("text_id").alias("a"), F.col("words").alias("words_a"), F.col("names").alias("names_a"))
     b = texts.select(F.col("text_id").alias("b"), F.col("words").alias("words_b"), F.col("names").alias("names_b"))
 
     @F.pandas_udf("boolean")
     def check(wa: pd.Series, wb: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
-        return pd.Series([same_question(list(p), list(q), set(r), set(s)) for p, q, r, s in zip(wa, wb, na, nb)], dtype=bool)
+        return pd.Series([same_question(p.split(" "), q.split(" "), set(r.split()), set(s.split())) for p, q, r, s in zip(wa, wb, na, nb)], dtype=bool)
+
+    both = skew_join(skew_join(pairs, a, "a"), b, "b")
+    may = ((F.size("names_a") == 0) & (F.size("names_b") == 0)) | _held("names_a", "words_b") | _held("names_b", "words_a")
+    return both.where(may).where(check(*[F.array_join(c, " ") for c in ("words_a", "words_b", "names_a", "names_b")])).select("a", "b")
+
+
+def near_same(texts: DataFrame, grams: DataFrame) -> DataFrame:
+    """``a, b``: every near-same pair of a training and a different evaluation text; see the module text for why none is lost."""
+    who = ["text_id", "train", "eval"]
+    named, bare = texts.where("probe is not null"), texts.where("probe is null")
+    some = F.explode(F.slice("prefix", F.lit(1), F.col("spare") + 1)).alias("gram")
+    held = F.explode("keys").alias("key")
+
+    left, right = _looked_up(named.select(*who, F.col("probe").alias("gram")), grams).select(*who, "key"), texts.select(*who, held)
+    pairs, hot = _meet(left, right)
+    bare_left, bare_right = _looked_up(bare.select(*who, some), grams).select(*who, "key"), bare.select(*who, held)
+    more, hot_bare = _meet(bare_left, bare_right)
+    pairs, sure = pairs.unionByName(more), []
+
+    if not hot_bare.isEmpty():
+        sure.append(_block_pairs(bare_left, bare_right, texts, hot_bare))
+    if not hot.isEmpty():
+        # the shorter text of a pair looks for one of its prefix words in the longer one, which may be on either side of the n-gram
+        firsts = _looked_up(named.select("text_id", F.col("probe").alias("own"), F.col("probe").alias("gram")), grams)
+        seconds = texts.select("text_id", held).withColumn("own", F.col("key"))
+        x, y = (cut(texts.join(t.join(hot, "key", "left_semi").withColumnRenamed("key", "first"), "text_id").select(*who, "own", "first", "prefix", "spare", "keys")) for t in (firsts, seconds))
+        others = F.slice(F.filter("prefix", lambda g: g != F.col("own")), F.lit(1), F.col("spare") + 1)  # the n-gram itself would be as frequent again
+        enough = F.explode(F.when(F.size(others) > F.col("spare"), others).otherwise(F.col("prefix"))).alias("gram")
+        longer = F.xxhash64("first", "key").alias("key")
+        for p, q in ((x, y), (y, x)):
+            looks = _looked_up(p.select(*who, "first", enough), grams).select(*who, longer)
+            holds = q.select(*who, "first", held).select(*who, longer)
+            more, rest = _meet(looks, holds)
+            pairs = pairs.unionByName(more)
+            if not rest.isEmpty():
+                sure.append(_block_pairs(looks, holds, texts, rest))
+    out = _checked(cut(pairs.distinct()), texts)
+    for block in sure:
+        out = out.unionByName(block)
+    return out.distinct()
+
 
-    links = pairs.join(a, "a").join(b, "b").where(check("words_a", "words_b", "names_a", "names_b")).select("a", "b")
+def overlapping_texts(df: DataFrame, row_id: str, text: str, side: str) -> tuple[DataFrame, DataFrame]:
+    """(links, members): near-same pairs of texts as ``a`` (training), ``b`` (evaluation), and ``row_id, side, text_id`` of the rows.
+
+    ``side`` is ``train`` or ``eval``; other and null values are in neither. Equal texts are one class; a class with
+    rows on both sides overlaps with itself and appears as the pair (a, a). Null, empty and wordless texts take no
+    part, repeated rows count, other columns do not matter, and an empty table gives no links.
+    """
+    rows = _read(df, row_id, text, side)
+    texts = _texts(rows)
+    grams = _grams(texts, _names(rows))
+    texts = _described(texts, grams)
     own = texts.where("train and eval").select(F.col("text_id").alias("a"), F.col("text_id").alias("b"))
-    return cut(links.unionByName(own)), members
+    return cut(near_same(texts, grams).unionByName(own)), rows.select("row_id", "side", "text_id")
+
+
+def overlap_classes(links: DataFrame, members: DataFrame) -> DataFrame:
+    """``row_id, side, class_id, links``: the class of each row and with how many classes of the other side it overlaps."""
+    n = links.select(F.lit("train").alias("side"), F.col("a").alias("text_id")).unionByName(links.select(F.lit("eval").alias("side"), F.col("b").alias("text_id")))
+    n = n.groupBy("side", "text_id").agg(F.count(F.lit(1)).alias("links")).withColumn("key", F.concat_ws(":", "side", F.hex("text_id"))).select("key", "links")
+    rows = members.withColumn("key", F.concat_ws(":", "side", F.hex("text_id")))
+    return skew_join(rows, n, "key", "left").select("row_id", "side", F.lower(F.hex("text_id")).alias("class_id"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
 
 
 def overlapping_rows(df: DataFrame, row_id: str, text: str, side: str) -> DataFrame:
-    """``train_id, eval_id``: every pair of rows of overlapping texts. A hot text's rows stay where they are."""
+    """``train_id, eval_id``: every pair of rows of overlapping texts.
+
+    The rows of a text are split into parts of about ``BLOCK`` rows and a link into one for each pair of parts, so a
+    text that holds a large share of all rows is spread over as many tasks as its pairs need.
+    """
     links, members = overlapping_texts(df, row_id, text, side)
-    trains = members.where("side = 'train'").select(F.col("text_id").alias("a"), F.col("row_id").alias("train_id"))
-    evals = members.where("side = 'eval'").select(F.col("text_id").alias("b"), F.col("row_id").alias("eval_id"))
-    return links.join(trains, "a").join(evals, "b").select("train_id", "eval_id")
+    sizes = cut(members.groupBy("text_id").agg(F.count_if(F.col("side") == "train").alias("t"), F.count_if(F.col("side") == "eval").alias("e")))
+    parts = sizes.select("text_id", F.ceil(F.col("t") / BLOCK).cast("int").alias("pt"), F.ceil(F.col("e") / BLOCK).cast("int").alias("pe"))
+    linked = links.join(parts.select(F.col("text_id").alias("a"), "pt"), "a").join(parts.select(F.col("text_id").alias("b"), "pe"), "b")
+    linked = linked.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("pt") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("pe") - 1))).select("a", "b", "i", "j")
+    hot = counted_hot(sizes.withColumn("n", F.col("t") + F.col("e")), "text_id", "n")
+    placed = skew_join(members, parts, "text_id", hot=hot)
+    part = lambda n: F.pmod(F.xxhash64("row_id"), F.col(n)).cast("int")
+    trains = placed.where("side = 'train'").select(F.col("text_id").alias("a"), part("pt").alias("i"), F.col("row_id").alias("train_id"))
+    evals = placed.where("side = 'eval'").select(F.col("text_id").alias("b"), part("pe").alias("j"), F.col("row_id").alias("eval_id"))
+    return linked.join(trains, ["a", "i"]).join(evals, ["b", "j"]).select("train_id", "eval_id")

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from lucidra.functions.dimensions import nearest_r7
 from lucidra.llm.cutoffs import CountTree, keep_fraction
 from lucidra.llm.formatting import collapse, formatting_classes
-from lucidra.llm.overlaps import overlapping_rows, overlapping_texts
+from lucidra.llm.overlaps import overlap_classes, overlapping_rows, overlapping_texts
 from lucidra.llm.pairs import flag_defects
-from lucidra.llm.splits import assign, linked_groups
+from lucidra.llm.splits import assign
 from lucidra.session import load
-from lucidra.util import skew_join, spread
+from lucidra.util import skew_join
 
 
 def _sides(spark: SparkSession, d: str) -> DataFrame:
@@ -40,17 +40,26 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("split_name", "dataset_id").agg(F.count(F.lit(1)).alias("rows"), F.count_if("hit").alias("overlapping"))
 
 
-def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """Rows linked to a row with a smaller id, with the smallest id of their group."""
-    groups = linked_groups(load(spark, d, "example_record"), "row_id", "metadata")
-    return groups.where("row != component").select(F.col("component").alias("first_row_id"), F.col("row").alias("row_id"))
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The class of equal texts of each row and with how many classes of the other side it overlaps."""
+    links, members = overlapping_texts(_sides(spark, d), "row_id", "question", "side")
+    return overlap_classes(links, members).select("row_id", "class_id", "links")
 
 
-def _assigned(spark: SparkSession, d: str) -> DataFrame:
+def _examples(spark: SparkSession, d: str) -> DataFrame:
     get = lambda k: F.lower(F.trim(F.get_json_object("metadata", f"$.{k}"))).alias(k)
-    df = load(spark, d, "example_record").select("row_id", "metadata", get("dataset_id"), get("lang"))
+    return load(spark, d, "example_record").select("row_id", "metadata", get("dataset_id"), get("lang"))
+
+
+def _assigned(spark: SparkSession, d: str) -> DataFrame:
+    """``row_id, component, split``: linked rows share a split, sources and languages are balanced."""
     fractions = {r.split: r.fraction for r in load(spark, d, "split_target").collect()}
-    return df.join(assign(df, "row_id", "metadata", ["dataset_id", "lang"], fractions), "row_id")
+    return assign(_examples(spark, d), "row_id", "metadata", ["dataset_id", "lang"], fractions)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Rows linked to a row with a smaller id, with the smallest id of their group: the rows that are assigned as a part of it."""
+    return _assigned(spark, d).where("row_id != component").select(F.col("component").alias("first_row_id"), "row_id")
 
 
 def p2_assigned(spark: SparkSession, d: str) -> DataFrame:
@@ -60,7 +69,7 @@ def p2_assigned(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_balance(spark: SparkSession, d: str) -> DataFrame:
     """The share of each split, overall and by source and language, against its target."""
-    rows = _assigned(spark, d)
+    rows = _assigned(spark, d).join(_examples(spark, d).drop("metadata"), "row_id")
     sets = F.inline(F.array(F.struct(F.lit("all").alias("label")), F.struct(F.concat(F.lit("dataset_id="), F.coalesce("dataset_id", F.lit("<null>"))).alias("label")), F.struct(F.concat(F.lit("lang="), F.coalesce("lang", F.lit("<null>"))).alias("label"))))
     n = rows.select("split", sets).groupBy("label", "split").agg(F.count(F.lit(1)).alias("rows"))
     share = n.withColumn("share", F.col("rows") / F.sum("rows").over(W.partitionBy("label")))
@@ -86,7 +95,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     ex = ex.groupBy("k").agg(F.min_by("question", "row_id").alias("question"))
     gen = load(spark, d, "generation_record").select("row_id", key("example_id").alias("k"), "raw_text", "candidates")
     pairs = skew_join(gen, ex, "k", "left")
-    return flag_defects(spread(pairs), "row_id", "question", "raw_text", "candidates")
+    return flag_defects(pairs, "row_id", "question", "raw_text", "candidates")
 
 
 def usable_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -127,7 +136,7 @@ s AS (SELECT *, row_number() OVER (PARTITION BY track, policy_level ORDER BY sco
 c AS (SELECT track, policy_level, n, (keep_percent * n + 99) // 100 k, score cutoff FROM s JOIN keep_target USING (track, policy_level) WHERE pos = (keep_percent * n + 99) // 100)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p2_assigned": p2_assigned, "p2_balance": p2_balance, "p4_found": p4_found, "p4_copies": p4_copies, "p6_found": p6_found, "p7_found": p7_found, "p7_cutoffs": p7_cutoffs}
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p1_classes": p1_classes, "p2_found": p2_found, "p2_assigned": p2_assigned, "p2_balance": p2_balance, "p4_found": p4_found, "p4_copies": p4_copies, "p6_found": p6_found, "p7_found": p7_found, "p7_cutoffs": p7_cutoffs}
 ORACLES = {
     "p7_found": _P7 + "SELECT track, policy_level, row_id FROM u JOIN c USING (track, policy_level) WHERE score >= cutoff",
     "p7_cutoffs": _P7

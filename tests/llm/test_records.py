@@ -1,4 +1,4 @@
-"""Overlaps, splits, formatting, cutoffs and pairs: brute force, laws and odd inputs."""
+"""Splits, formatting, cutoffs and pairs: brute force, laws and odd inputs."""
 
 import itertools
 import math
@@ -7,99 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lucidra.llm import cutoffs, formatting, overlaps, pairs, splits
-
-NAMES = ["Marolin Tepas", "Vukor Desin", "Bolath Rimex", "Zanod Kuvil", "Petrag Solum", "Havin Dorask"]
-FORM = ["Which river flows past the town of {a} before the visit of {b} in {y}?", "Who translated the longest poem by {a} for the review of {b} in {y}?", "What was the first name of the harbour of {a} as recorded by {b} in {y}?"]
-
-
-def question(rng):
-    a, b = rng.sample(NAMES, 2)
-    return rng.choice(FORM).format(a=a, b=b, y=rng.randrange(1800, 1990))
-
-
-@pytest.mark.parametrize(
-    ("a", "b", "same"),
-    [
-        ("Who led the Fodazur Lisar station in 1835?", "who led the  fodazur lisar station in 1835", True),
-        ("Who led the Fodazur Lisar station in 1835?", "Please tell me: who led the Fodazur Lisar station in 1835? (short answer)", True),
-        ("Who led the Fodazur Lisar station in 1835?", "Who led the Fodazar Lisar station in 1835?", True),
-        ("Who led the Fodazur Lisar station in 1835?", "Who led the Fodazur Lisar station in 1853?", False),
-        ("Who led the Fodazur Lisar station in 1835?", "Who led the Mikopen Lisar station in 1835?", False),
-        ("Who led it before Fodazur Lisar came in 1835?", "Who led it after Fodazur Lisar came in 1835?", False),
-        ("Who led it before Fodazur Lisar came in 1835?", "Before Fodazur Lisar came in 1835, who led it?", True),
-        ("Who led it bfeore Fodazur Lisar came in 1835?", "Who led it before Fodazur Lisar came in 1835?", True),
-        ("Did Fodazur Lisar win the prize of 1835?", "Did Fodazur Lisar not win the prize of 1835?", False),
-    ],
-)
-def test_exact_check(a, b, same):
-    wa, wb = overlaps.words(a), overlaps.words(b)
-    rare = {"fodazur", "fodazar", "lisar", "mikopen"}
-    assert overlaps.same_question(wa, wb, rare, rare) is same
-    assert overlaps.same_question(wb, wa, rare, rare) is same
-
-
-def test_slips():
-    assert overlaps.slip("soral", "soeal") and overlaps.slip("before", "bfeore") and overlaps.slip("dispute", "disputee") and overlaps.slip("abc", "ac")
-    assert not overlaps.slip("1835", "1836") and not overlaps.slip("first", "last") and not overlaps.slip("a", "b")
-    assert overlaps.two_slips("zivandor", "zirandol") and not overlaps.two_slips("zivand", "mukor")
-
-
-def test_pairs_against_all_pairs(spark):
-    rng = random.Random(4)
-    texts = [question(rng) for _ in range(50)]
-    rows = []
-    for i in range(220):
-        t = rng.choice(texts)
-        r = rng.random()
-        t = t.lower() if r < 0.2 else t.replace("the", "teh", 1) if r < 0.3 else "Quick one - " + t if r < 0.4 else t
-        rows.append((i, t, rng.choice(["train", "eval", "eval", None])))
-    rows += [(900, None, "train"), (901, "", "eval"), (902, " ?!", "train"), (903, "word " * 3000, "train"), (904, "word " * 3000, "eval")]
-    df = spark.createDataFrame(rows, "row_id long, q string, side string").withColumn("text_id", F.lit("clash")).repartition(5)
-    got = {(r.train_id, r.eval_id) for r in overlaps.overlapping_rows(df, "row_id", "q", "side").collect()}
-    bare = {i: " ".join(overlaps.words(t)) for i, t, _ in rows}
-    distinct = {t for i, t, s in ((i, bare[i], s) for i, _, s in rows) if t and s}
-    df_ = {}
-    for t in distinct:
-        for w in set(t.split()):
-            df_[w] = df_.get(w, 0) + 1
-    common = max(overlaps.COMMON_LEAST, overlaps.COMMON_SHARE * len(distinct))
-    names = lambda t: {w for w in t.split() if df_[w] < common}
-    key = lambda t: set(sorted(set(t.split()), key=lambda w: (df_[w], w))[: overlaps.KEY_WORDS])
-    want = set()
-    for (i, _, s), (j, _, z) in itertools.product(rows, rows):
-        if s == "train" and z == "eval" and bare[i] and bare[j]:
-            a, b = bare[i], bare[j]
-            few = max(len(names(a)), len(names(b))) <= overlaps.FEW_NAMES
-            if a == b or ((len(key(a) & key(b)) >= overlaps.SHARED or few) and overlaps.same_question(a.split(), b.split(), names(a), names(b))):
-                want.add((i, j))
-    assert got == want and (903, 904) in got
-
-
-def test_hot_ngrams_are_extended_not_dropped(spark, monkeypatch):
-    rng = random.Random(9)
-    rows = [(i, question(rng), "train" if i % 2 else "eval") for i in range(160)]
-    df = spark.createDataFrame(rows, "row_id long, q string, side string")
-    want = {tuple(r) for r in overlaps.overlapping_rows(df, "row_id", "q", "side").collect()}
-    monkeypatch.setattr(overlaps, "HOT_PAIRS", 20)
-    monkeypatch.setattr(overlaps, "HOT_ROWS", 5)
-    got = {tuple(r) for r in overlaps.overlapping_rows(df, "row_id", "q", "side").collect()}
-    assert got == want
-
-
-def test_a_slip_in_the_only_name_is_found_behind_hot_words(spark, monkeypatch):
-    monkeypatch.setattr(overlaps, "HOT_PAIRS", 50)
-    monkeypatch.setattr(overlaps, "HOT_ROWS", 10)
-    names = [a + b for a in ("zedo", "mika", "purel", "tavon", "bisor", "galun") for b in ("nia", "rok", "dal", "mev", "sut")]
-    rows = [(i, f"What is the capital of {n}?", "train" if i % 2 else "eval") for i, n in enumerate(names)]
-    rows += [(100, "What is the capital of Zedonai?", "train"), (101, "What is the capital of Mikarokk", "train"), (102, "what is the capital of Zdonia?", "train")]
-    got = {tuple(r) for r in overlaps.overlapping_rows(spark.createDataFrame(rows, "row_id long, q string, side string"), "row_id", "q", "side").collect()}
-    assert {(100, 0), (102, 0)} <= got and all(t >= 100 for t, _ in got)
-
-
-def test_overlaps_of_nothing(spark):
-    assert overlaps.overlapping_rows(spark.createDataFrame([], "row_id long, q string, side string"), "row_id", "q", "side").isEmpty()
-
+from lucidra.llm import cutoffs, formatting, pairs, splits
 
 def test_link_tokens(spark):
     rows = [
