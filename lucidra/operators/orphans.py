@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lucidra.util import skew_join
+from lucidra.util import counted_hot, cut, skew_join
 
 #: End of what was never deleted, and the moment just before it that stands for an unknown time of judgement.
 FOREVER, LAST = "9999-12-31 00:00:00", "9999-12-30 00:00:00"
@@ -37,13 +37,11 @@ def _digest(cols: list[str]) -> Column:
     return cols and F.to_json(F.array(*cols))
 
 
-def _lifetimes(parent: DataFrame, cols: list[str], arrived: str, deleted: str | None, salts: int) -> DataFrame:
-    """One row per key: when it first arrived and the steps of "latest end among the rows arrived so far".
+def _lives(parent: DataFrame, cols: list[str], arrived: str, deleted: str | None, salts: int) -> DataFrame:
+    """``_k, _a, _e``: spans [arrived, deleted) that cover all times at which some row of a key is alive.
 
-    A parent row lives in [arrived, deleted). Some row is alive at t exactly if the largest end among
-    rows arrived by t exceeds t, so only rows that raise that running maximum matter. They are found
-    within salted parts of a key first and merged afterwards: a key that holds a third of all rows is
-    never sorted in one task.
+    Of rows that arrived later only those that outlive the earlier ones matter. They are told apart within
+    salted parts of a key: a key that holds a third of all rows is never sorted in one task.
     """
     end = F.coalesce(F.col(deleted), F.to_timestamp_ntz(F.lit(FOREVER))) if deleted else F.to_timestamp_ntz(F.lit(FOREVER))
     rows = (
@@ -52,18 +50,22 @@ def _lifetimes(parent: DataFrame, cols: list[str], arrived: str, deleted: str |
         .withColumn("_a", F.coalesce("_a", F.to_timestamp_ntz(F.lit("0001-01-01 00:00:00"))))
         .groupBy("_k", "_a")
         .agg(F.max("_e").alias("_e"))
+        .withColumn("_s", F.pmod(F.xxhash64("_a"), F.lit(salts)))
     )
+    before = W.partitionBy("_k", "_s").orderBy("_a").rowsBetween(W.unboundedPreceding, -1)
+    return rows.withColumn("_m", F.max("_e").over(before)).where(F.col("_m").isNull() | (F.col("_e") > F.col("_m"))).select("_k", "_a", "_e")
 
-    def records(df: DataFrame, *by: str) -> DataFrame:
-        before = W.partitionBy(*by).orderBy("_a").rowsBetween(W.unboundedPreceding, -1)
-        return df.withColumn("_m", F.max("_e").over(before)).where(F.col("_m").isNull() | (F.col("_e") > F.col("_m"))).drop("_m")
 
-    rows = records(rows.withColumn("_s", F.pmod(F.xxhash64("_a"), F.lit(salts))), "_k", "_s").drop("_s")
-    rows = records(rows, "_k")
-    return rows.groupBy("_k").agg(
-        F.min("_a").alias("_first"),
-        F.array_sort(F.collect_list(F.struct(F.col("_a").alias("a"), F.col("_e").alias("e")))).alias("_steps"),
-    )
+def _unresolved(refs: DataFrame, lives: DataFrame, hot: list, salts: int) -> DataFrame:
+    """The references (``_k, _t``) to no row that is alive at their time: an anti-join. References to hot keys are
+    split into ``salts`` parts and meet a copy of the key's spans in each, so that nothing has to be broadcast."""
+    is_hot = F.col("_k").isin(hot) if hot else F.lit(False)
+    salt = F.when(is_hot, F.pmod(F.xxhash64("row_id"), F.lit(salts))).otherwise(0)
+    every = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    left = refs.withColumn("_s", salt.cast("int")).alias("r")
+    right = lives.withColumn("_s", F.explode(every)).alias("l")
+    alive = (F.col("r._k") == F.col("l._k")) & (F.col("r._s") == F.col("l._s")) & (F.col("l._a") <= F.col("r._t")) & (F.col("l._e") > F.col("r._t"))
+    return left.join(right, alive, "left_anti").drop("_s")
 
 
 def orphan_references(
@@ -85,8 +87,8 @@ def orphan_references(
     ``child_keys`` hold comparable keys (see :func:`reference_key`); a row may occur several times with
     different keys, equal (row, key) pairs are reported once. ``seen`` is the time at which the reference
     is judged; a null there counts as the end of time. ``ref_key`` is the key, or the JSON array of the
-    keys when there are several columns. Hot keys on the child side are joined by broadcast of at most
-    ``1 / hot_share`` parent rows. Empty tables give an empty result or only ``missing`` rows.
+    keys when there are several columns. Each mask is one anti-join; the few unresolved references then look up
+    when their key first arrived. Empty tables give an empty result or only ``missing`` rows.
     """
     if match not in ("simple", "partial", "full"):
         raise ValueError(f"unknown match rule {match!r}")
@@ -120,22 +122,23 @@ def orphan_references(
                 parts.append(some.withColumn("ref_state", F.lit("malformed")))
                 continue
             cols = [names[i] for i in there]
-            life = _lifetimes(targets.dropna(subset=cols), cols, "_arrived", "_deleted" if deleted else None, salts)
-            joined = skew_join(some.withColumn("_k", _digest(cols)), life, "_k", "left", hot_share)
-            alive = F.exists("_steps", lambda s: (s["a"] <= F.col("_t")) & (s["e"] > F.col("_t")))
-            state = (
-                F.when(F.col("_first").isNull(), "missing").when(F.col("_first") > F.col("_t"), "late").when(~alive, "deleted")
-            )
-            parts.append(joined.withColumn("ref_state", state).where(F.col("ref_state").isNotNull()).drop("_k", "_first", "_steps"))
+            mine = targets.dropna(subset=cols)
+            some = some.withColumn("_k", _digest(cols))
+            counts = cut(some.groupBy("_k").agg(F.count(F.lit(1)).alias("n")))
+            hot = counted_hot(counts, "_k", "n", hot_share)
+            lost = _unresolved(some, _lives(mine, cols, "_arrived", "_deleted" if deleted else None, salts), hot, salts)
+            firsts = mine.groupBy(_digest(cols).alias("_k")).agg(F.min(F.coalesce("_arrived", F.to_timestamp_ntz(F.lit("0001-01-01 00:00:00")))).alias("_first"))
+            state = F.when(F.col("_first").isNull(), "missing").when(F.col("_first") > F.col("_t"), "late").otherwise("deleted")
+            parts.append(skew_join(lost, firsts, "_k", "left", hot=hot).withColumn("ref_state", state).drop("_k", "_first"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.select("row_id", label.alias("ref_key"), "ref_state", *[F.col(f"_keep_{c}").alias(c) for c in keep])
 
 
-def orphan_report(orphans: DataFrame, table: str, at: str) -> DataFrame:
+def orphan_report(orphans: DataFrame, table: str | Column, at: str) -> DataFrame:
     """Unresolved references per table, month of ``at`` and state: ``child_table, period, ref_state, refs, rows``."""
     return (
-        orphans.groupBy(F.lit(table).alias("child_table"), F.date_format(at, "yyyy-MM").alias("period"), "ref_state")
+        orphans.groupBy((F.lit(table) if isinstance(table, str) else table).alias("child_table"), F.date_format(at, "yyyy-MM").alias("period"), "ref_state")
         .agg(F.count(F.lit(1)).alias("refs"), F.countDistinct("row_id").alias("rows"))
     )

@@ -2,49 +2,55 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lucidra.operators.orphans import orphan_references, orphan_report, reference_key
 from lucidra.session import load
 
 
-def _found(spark: SparkSession, d: str) -> list[tuple[str, DataFrame]]:
-    examples = load(spark, d, "example_record").select(reference_key(F.col("example_id")).alias("k"), "ingested_at", "deleted_at")
-    gens = load(spark, d, "generation_record")
-    gen_keys = gens.select(reference_key(F.col("generation_id")).alias("k"), "ingested_at", "deleted_at")
-    children = [
-        (
-            "workload_record",
-            load(spark, d, "workload_record")
-            .select("row_id", "created_at", "ingested_at", F.explode("constituent_example_ids").alias("k"))
-            .withColumn("k", reference_key(F.col("k"))),
-            examples,
-        ),
-        ("generation_record", gens.select("row_id", "created_at", "ingested_at", reference_key(F.col("example_id")).alias("k")), examples),
-        (
-            "read_result_record",
-            load(spark, d, "read_result_record").select("row_id", "created_at", "ingested_at", reference_key(F.col("generation_id")).alias("k")),
-            gen_keys,
-        ),
-    ]
-    return [
-        (name, orphan_references(c, p, "row_id", ["k"], ["k"], "ingested_at", "ingested_at", "deleted_at", keep=["created_at"]))
-        for name, c, p in children
-    ]
+KEYS = ["example_key", "generation_key"]
+
+
+def _references(spark: SparkSession, d: str) -> DataFrame:
+    """The references of all three child tables as one composite key, of which each table fills its part."""
+
+    def part(table: str, example: Column | None, generation: Column | None, rows: DataFrame | None = None) -> DataFrame:
+        none = F.lit(None).cast("string")
+        keys = [(none if c is None else reference_key(c)).alias(k) for c, k in zip((example, generation), KEYS)]
+        rows = load(spark, d, table) if rows is None else rows
+        return rows.select(F.struct(F.lit(table).alias("child_table"), "row_id").alias("child"), "created_at", "ingested_at", *keys)
+
+    parts = load(spark, d, "workload_record").select("row_id", "created_at", "ingested_at", F.explode("constituent_example_ids").alias("k"))
+    return (
+        part("workload_record", F.col("k"), None, parts)
+        .unionByName(part("generation_record", F.col("example_id"), None))
+        .unionByName(part("read_result_record", None, F.col("generation_id")))
+    )
+
+
+def _targets(spark: SparkSession, d: str) -> DataFrame:
+    """What they refer to: examples and generations, each by its own part of the key."""
+    none = F.lit(None).cast("string")
+    ex = load(spark, d, "example_record").select(reference_key(F.col("example_id")).alias(KEYS[0]), none.alias(KEYS[1]), "ingested_at", "deleted_at")
+    gen = load(spark, d, "generation_record").select(none.alias(KEYS[0]), reference_key(F.col("generation_id")).alias(KEYS[1]), "ingested_at", "deleted_at")
+    return ex.unionByName(gen)
+
+
+def _found(spark: SparkSession, d: str) -> DataFrame:
+    """``child_table, row_id, created_at, ref_key, ref_state`` of every unresolved reference."""
+    got = orphan_references(_references(spark, d), _targets(spark, d), "child", KEYS, KEYS, "ingested_at", "ingested_at", "deleted_at", match="partial", keep=["created_at", *KEYS])
+    return got.select("row_id.child_table", "row_id.row_id", "created_at", F.coalesce(*KEYS).alias("ref_key"), "ref_state")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Every unresolved reference of the three child tables."""
-    parts = [o.select(F.lit(name).alias("child_table"), "row_id", "ref_key", "ref_state") for name, o in _found(spark, d)]
-    return reduce(DataFrame.unionByName, parts)
+    return _found(spark, d).select("child_table", "row_id", "ref_key", "ref_state")
 
 
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
     """The same per table, month of creation and state."""
-    return reduce(DataFrame.unionByName, [orphan_report(o, name, "created_at") for name, o in _found(spark, d)])
+    return orphan_report(_found(spark, d), F.col("child_table"), "created_at")
 
 
 def p3_composite(spark: SparkSession, d: str) -> DataFrame:
@@ -77,8 +83,19 @@ st AS (
   FROM ch LEFT JOIN keys ON keys.p = ch.p AND keys.k = ch.k)
 """
 
+#: Read results against generations by three columns, of which those that are null match anything.
+P3_COMPOSITE_SQL = f"""
+WITH ch AS (SELECT row_id, ingested_at t, {_key('generation_id')} g, {_key('example_id')} e, {_key('run_id')} r FROM read_result_record),
+pa AS (SELECT ingested_at i, deleted_at x, {_key('generation_id')} g, {_key('example_id')} e, {_key('run_id')} r FROM generation_record),
+hit AS (SELECT ch.row_id, min(pa.i) first, bool_or(pa.i <= ch.t AND (pa.x IS NULL OR pa.x > ch.t)) alive
+  FROM ch JOIN pa ON (ch.g IS NULL OR ch.g = pa.g) AND (ch.e IS NULL OR ch.e = pa.e) AND (ch.r IS NULL OR ch.r = pa.r) GROUP BY 1)
+SELECT ch.row_id, to_json([g, e, r]) AS ref_key, CASE WHEN first IS NULL THEN 'missing' WHEN first > t THEN 'late' ELSE 'deleted' END AS ref_state
+FROM ch LEFT JOIN hit USING (row_id) WHERE (g IS NOT NULL OR e IS NOT NULL OR r IS NOT NULL) AND NOT coalesce(alive, false)
+"""
+
 QUERIES = {"p3_found": p3_found, "p3_report": p3_report, "p3_composite": p3_composite}
 ORACLES = {
+    "p3_composite": P3_COMPOSITE_SQL,
     "p3_found": P3_SQL + "SELECT child_table, row_id, k AS ref_key, ref_state FROM st WHERE ref_state IS NOT NULL",
     "p3_report": P3_SQL
     + "SELECT child_table, strftime(created_at, '%Y-%m') AS period, ref_state, count(*) AS refs, count(DISTINCT row_id) AS rows FROM st WHERE ref_state IS NOT NULL GROUP BY ALL",
