@@ -120,6 +120,14 @@ def _cheap_key(df: DataFrame, question: str, answers: str) -> DataFrame:
     return plain.unionByName(rest)
 
 
+def _exact(question: str, answers: str) -> Column:
+    @F.pandas_udf("string")
+    def exact(q: pd.Series, a: pd.Series) -> pd.Series:
+        return pd.Series([record_key(x, y) for x, y in zip(q, a)])
+
+    return exact(question, answers)
+
+
 def formatting_classes(df: DataFrame, row_id: str, question: str, answers: str) -> DataFrame:
     """``row_id, first_row_id, copies`` of every record that has a copy up to formatting.
 
@@ -132,20 +140,23 @@ def formatting_classes(df: DataFrame, row_id: str, question: str, answers: str)
     counts = cut(cheap.groupBy("_inv").agg(F.count(F.lit(1)).alias("n")))
     some = skew_join(cheap, counts.where("n > 1").select("_inv"), "_inv", "left_semi", hot=counted_hot(counts, "_inv", "n"))
 
-    @F.pandas_udf("string")
-    def exact(q: pd.Series, a: pd.Series) -> pd.Series:
-        return pd.Series([record_key(x, y) for x, y in zip(q, a)])
-
-    keyed = cut(some.select("row_id", exact("_question", "_answers").alias("_key")))
+    keyed = cut(some.select("row_id", _exact("_question", "_answers").alias("_key")))
     classes = cut(keyed.groupBy("_key").agg(F.min("row_id").alias("first_row_id"), F.count(F.lit(1)).alias("copies")))
     hot = counted_hot(classes, "_key", "copies")
     return skew_join(keyed, classes.where("copies > 1"), "_key", hot=hot).select("row_id", "first_row_id", "copies")
 
 
 def collapse(df: DataFrame, row_id: str, question: str, answers: str) -> DataFrame:
-    """The first record of every class with its number of ``copies`` (1 for records that stand alone)."""
+    """The first record of every class with its number of ``copies`` (1 for records that stand alone).
+
+    One row for each class, also where the same row stands there several times under one row id. A column called
+    copies of the input is replaced. Rows whose row id is null are compared among themselves like all others.
+    """
     members = formatting_classes(df, row_id, question, answers)
-    later = members.where(F.col("row_id") != F.col("first_row_id")).select(F.col("row_id").alias(row_id))
-    firsts = members.where(F.col("row_id") == F.col("first_row_id")).select(F.col("row_id").alias(row_id), "copies")
-    kept = df.join(later, row_id, "left_anti").drop("copies").join(firsts.distinct(), row_id, "left")
-    return kept.withColumn("copies", F.coalesce("copies", F.lit(1).cast("long")))
+    later = members.where(~F.col("row_id").eqNullSafe(F.col("first_row_id"))).select(F.col("row_id").alias("_later")).distinct()
+    firsts = members.where(F.col("row_id").eqNullSafe(F.col("first_row_id"))).select(F.col("row_id").alias("_first"), F.col("copies").alias("_copies")).distinct()
+    kept = df.drop("copies")
+    kept = kept.join(later, F.col(row_id).eqNullSafe(F.col("_later")), "left_anti").join(firsts, F.col(row_id).eqNullSafe(F.col("_first")), "left")
+    alone = kept.where("_copies is null").withColumn("copies", F.lit(1).cast("long"))
+    first = kept.where("_copies is not null").withColumn("_key", _exact(question, answers)).dropDuplicates([row_id, "_key"]).withColumn("copies", F.col("_copies"))
+    return alone.unionByName(first.drop("_key")).drop("_first", "_copies")

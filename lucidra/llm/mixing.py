@@ -5,7 +5,7 @@ subject to the tokens each source must contribute and to the cap on repeats. The
 w = min(cap, exp(lambda_s * tokens)); the dual is solved by safeguarded Newton iterations whose sums
 are taken by Spark over the histogram of (source, length); the driver holds one number per source.
 Rates are rounded to whole copies by running sums over the lengths, and what a source then lacks or has
-too many is made up with documents of up to ``FINE`` tokens, whose counts per length are few.
+too many is made up with documents of its ``FINE`` shortest lengths.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from lucidra.llm.packing import ranked_within
 from lucidra.util import cut
 
 ROUNDS, TOLERANCE = 60, 1e-9
-#: Longest documents used to even out the rounding; also the most counts per source that the driver sees.
+#: Shortest lengths of each source whose documents even out the rounding; also the most counts per source that the driver sees.
 FINE = 4096
 
 
@@ -63,7 +63,7 @@ def _solve(cells: DataFrame, wanted: dict[str, float], caps: dict[str, int], sca
 def _even_out(cells: list, lacking: dict[str, float]) -> list[tuple[str, int, int]]:
     """(source, n_tokens, change of copies) that bring each source closest to its tokens, longest documents first.
 
-    ``cells``: source, n_tokens, n, given, cap of the short documents.
+    ``cells``: source, n_tokens, n, given, cap of the shortest documents of each source.
     """
     out = []
     for r in sorted(cells, key=lambda r: (r.source, -r.n_tokens)):
@@ -82,7 +82,9 @@ def mix(docs: DataFrame, doc_id: str, source: str, n_tokens: str, targets: DataF
     ``targets``: ``source, target_share, max_repeats``, a small fixed table; shares are scaled to sum to 1 and
     must be positive. ``docs`` compares sources as they are; documents of other or null sources, or without
     tokens, take no part. ``total`` is the size of the mixture in tokens, by default the largest at which
-    every source can reach its share within its cap; a larger one is refused with the source that fails.
+    every source that has tokens can reach its share within its cap; a larger one is refused with the source that fails.
+    A target source without tokens stays in the report with 0 documents and an actual share of 0 against its full
+    target; the others keep their proportions to each other.
     copies: ``doc_id, source, n_tokens, copies`` (0 for documents left out); report: one row per target source.
     """
     goal = {r.source: (float(r.target_share), int(r.max_repeats)) for r in targets.collect() if r.source is not None and r.target_share and r.target_share > 0}
@@ -91,6 +93,8 @@ def mix(docs: DataFrame, doc_id: str, source: str, n_tokens: str, targets: DataF
     rows = cut(rows)
     cells = cut(rows.groupBy("source", "n_tokens").agg(F.count(F.lit(1)).alias("n")))
     have = {r.source: (r.t, r.n) for r in cells.groupBy("source").agg(F.sum(F.col("n") * F.col("n_tokens")).alias("t"), F.sum("n").alias("n")).collect()}
+    everything = sum(share for share, _ in goal.values()) or 1.0
+    asked = {s: share / everything for s, (share, _) in goal.items()}
     goal = {s: v for s, v in goal.items() if s in have} if total is None else goal
     weight = sum(share for share, _ in goal.values()) or 1.0
     most = min((cap * have[s][0] * weight / share if s in have else 0.0 for s, (share, cap) in goal.items()), default=0.0)
@@ -106,8 +110,8 @@ def mix(docs: DataFrame, doc_id: str, source: str, n_tokens: str, targets: DataF
 
     spark = docs.sparkSession
     table = spark.createDataFrame(
-        [(s, None if math.isinf(lam[s]) else lam[s], float(caps[s]), scale[s], goal[s][0] / weight) for s in sorted(goal)],
-        "source string, lam double, cap double, scale double, target_share double",
+        [(s, None if math.isinf(lam[s]) else lam[s], float(caps[s]), scale[s]) for s in sorted(goal)],
+        "source string, lam double, cap double, scale double",
     )
     tilt = F.exp(F.least(F.col("lam") * F.col("n_tokens") / F.col("scale"), F.lit(700.0)))
     rated = cells.join(F.broadcast(table), "source").withColumn("rate", F.when(F.col("lam").isNull(), F.col("cap")).otherwise(F.least("cap", tilt)))
@@ -117,7 +121,8 @@ def mix(docs: DataFrame, doc_id: str, source: str, n_tokens: str, targets: DataF
     whole = cut(whole.select("source", "n_tokens", "n", "cap", given.cast("long").alias("given")))
     sums = whole.groupBy("source").agg(F.sum(F.col("given") * F.col("n_tokens")).alias("t")).collect()
     lacking = {r.source: wanted[r.source] - r.t for r in sums}
-    changes = _even_out(whole.where(F.col("n_tokens") <= FINE).collect(), lacking)
+    shortest = F.row_number().over(W.partitionBy("source").orderBy("n_tokens"))
+    changes = _even_out(whole.withColumn("_place", shortest).where(F.col("_place") <= FINE).drop("_place").collect(), lacking)
     if changes:
         fix = spark.createDataFrame(changes, "source string, n_tokens long, change long")
         whole = whole.join(F.broadcast(fix), ["source", "n_tokens"], "left").withColumn("given", F.col("given") + F.coalesce("change", F.lit(0))).drop("change")
@@ -136,6 +141,8 @@ def mix(docs: DataFrame, doc_id: str, source: str, n_tokens: str, targets: DataF
         F.max("copies").alias("most_copies"),
         F.sum(F.col("copies") * F.col("n_tokens")).alias("tokens"),
     )
-    report = sums.join(F.broadcast(table.select("source", "target_share")), "source")
-    report = report.withColumn("actual_share", F.col("tokens") / F.sum("tokens").over(W.partitionBy(F.lit(1))))
-    return out, report
+    targeted = spark.createDataFrame(sorted(asked.items()), "source string, target_share double")
+    counts = ["documents", "documents_used", "copies", "most_copies", "tokens"]
+    report = targeted.join(sums, "source", "left").select("source", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts], "target_share")
+    used = F.sum("tokens").over(W.partitionBy(F.lit(1)))
+    return out, report.withColumn("actual_share", F.when(used > 0, F.col("tokens") / used).otherwise(0.0))

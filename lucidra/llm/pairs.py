@@ -10,17 +10,18 @@ is fitted on at most ``SAMPLE`` rows; it is applied to all rows, whole texts.
 
 from __future__ import annotations
 
+import pickle
 import random
 import re
 import unicodedata
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lucidra.llm.language import FUNCTION_WORDS, asked_language, detect
@@ -116,20 +117,30 @@ def _names(p: Pair) -> set[str]:
     return said | {w for w in bare_words(p.question) if not any(w in f for f in FUNCTION_WORDS.values())}
 
 
+def _scripts(said: list[str]) -> set[str]:
+    """The writing systems (first word of the characters' Unicode names) of most letters of some words."""
+    counts = Counter(unicodedata.name(ch, "?").split()[0] for w in said for ch in w if ch.isalpha())
+    half = counts.total() / 2
+    return {k for k, n in counts.items() if n >= half}
+
+
 def _clean(text: str | None) -> str:
     t = unicodedata.normalize("NFKC", text or "").replace("’", "'")
     return "".join(ch for ch in t if unicodedata.category(ch) not in ("Cf", "Co", "Cn"))
 
 
-def endings_of(rows: list[Pair], least: int = 2) -> frozenset[int]:
-    """Hashes of the word sequences (up to four) with which at least ``least`` sentences end."""
-    seen: Counter = Counter()
-    for r in rows:
-        text = _TAG.sub(" ", _clean(r.text)).strip()
-        names = _names(r)
-        for m in re.finditer(r"[^.!?]+(?=[.!?]+(?:\s|$))", text):
-            seq = _sequence(m.group(), names)
-            seen.update({_h(f"{n}:" + " ".join(seq[-n:])) for n in range(1, 5) if len(seq) >= n})
+def sentence_ends(r: Pair) -> set[int]:
+    """Hashes of the word sequences (up to four) with which the sentences of a response end."""
+    text, names, seen = _TAG.sub(" ", _clean(r.text)).strip(), _names(r), set()
+    for m in re.finditer(r"[^.!?]+(?=[.!?]+(?:\s|$))", text):
+        seq = _sequence(m.group(), names)
+        seen |= {_h(f"{n}:" + " ".join(seq[-n:])) for n in range(1, 5) if len(seq) >= n}
+    return seen
+
+
+def endings_of(ends: list[set[int]], least: int = 2) -> frozenset[int]:
+    """The sentence ends of at least ``least`` rows."""
+    seen = Counter(h for e in ends for h in e)
     return frozenset(h for h, n in seen.items() if n >= least)
 
 
@@ -151,10 +162,11 @@ def features(p: Pair, endings: frozenset[int] = frozenset()) -> tuple[dict[int,
     adds_answer = any(f" {a} " in flat and f" {a} " not in asked_flat for a in answers)
     own = detect(stripped, quotes=False)
     wanted = {x for x in (detect(p.question), asked_language(p.question)) if x} if p.question else set()
+    foreign = bool(p.question) and _scripts(content) and not _scripts(content) & _scripts(asked)
     ends = bool(_END.search(stripped))
     dots = bool(re.search(r"(?:\.{2,}|…)\W*$", stripped))
     full_stop = not dots and bool(re.search(r"[.!?。？！]\W*$", stripped))
-    facts = {"content": len(content), "new": len(new), "near": len(near), "covered": covered, "own": own, "wanted": wanted, "ends": ends, "has_answer": has_answer, "said": len(said), "full_stop": full_stop, "is_answer": " ".join(content) in answers, "adds_answer": adds_answer}
+    facts = {"content": len(content), "new": len(new), "near": len(near), "covered": covered, "own": own, "wanted": wanted, "ends": ends, "has_answer": has_answer, "said": len(said), "full_stop": full_stop, "is_answer": " ".join(content) in answers, "adds_answer": adds_answer, "foreign": foreign and not has_answer}
 
     out: dict[int, float] = {}
 
@@ -171,6 +183,9 @@ def features(p: Pair, endings: frozenset[int] = frozenset()) -> tuple[dict[int,
         add(f"covered:{int(covered * 5)}")
         add(f"copy:{covered > 0.75}:{min(len(near), 2)}")
         state = "none" if own is None or not wanted else "same" if own in wanted else "other"
+        if facts["foreign"]:
+            state = "other"
+            add("letters", 3.0)
         add(f"language:{state}")
         add(f"language:{state}:{min(len(said) // 4, 3)}")
     if answers:
@@ -252,63 +267,80 @@ def _reworded(text: str, rng: random.Random) -> str:
     return " ".join(w)
 
 
-def synthesise(rows: list[Pair], seed: int = 7) -> list[tuple[int, Pair, tuple[str, ...]]]:
-    """(source row, pair, defects): the rows as they are and their broken versions."""
-    rng = random.Random(seed)
+def donors_of(rows: list[Pair], langs: list[str | None]) -> dict[str, list[Pair]]:
+    """The rows whose responses can stand for another language, by language."""
     by_lang: dict[str, list[Pair]] = {}
-    for r in rows:
-        lang = detect(r.text or "", quotes=False)
+    for r, lang in zip(rows, langs):
         if lang and len((r.text or "").split()) > 3 and r.answers:
             by_lang.setdefault(lang, []).append(r)
+    return by_lang
+
+
+def _in_other_letters(text: str, rng: random.Random) -> str:
+    """The text as if it were written in another writing system: each letter becomes one of a block that starts somewhere else."""
+    first = rng.choice([0x0430, 0x03B1, 0x0561, 0x3042, 0x4E00, 0xAC00])
+    return "".join(chr(first + ord(ch.lower()) % 23) if ch.isalpha() else ch for ch in text)
+
+
+def broken_versions(r: Pair, i: int, by_lang: dict[str, list[Pair]], seed: int = 7) -> list[tuple[int, Pair, tuple[str, ...]]]:
+    """(source row, pair, defects): row ``i`` as it is and its broken versions; the draws depend on ``seed`` and ``i`` only."""
+    rng = random.Random(seed * 1_000_003 + i)
     out: list[tuple[int, Pair, tuple[str, ...]]] = []
-    for i, r in enumerate(rows):
-        text, q, ans = r.text or "", r.question, r.answers
-        if rng.random() < 0.15:
-            ans = ()
-        out.append((i, Pair(q, text, ans), ()))
-        qlang = (asked_language(q) or detect(q)) if q else None
-        for _ in range(2):
-            cut = _cut_inside(text, rng)
-            if cut and set(_sequence(_clean(cut), _names(r))) - set("@#.,"):
-                dots = rng.choice(["...", "…"]) if rng.random() < 0.25 else ""
-                out.append((i, Pair(q, cut + dots, ans), ("truncated",)))
-        if len(text.split()) > 3:
-            bare = re.sub(r"[.!?]\s*$", "", text)
-            out.append((i, Pair(q, bare + (rng.choice(["...", "…"]) if rng.random() < 0.1 else ""), ans), ()))
-        if q and rng.random() < 0.6:
-            q_only = re.split(r"(?<=[?？])\s*", q)[0]
-            shape = rng.choice(["{q}", "{q}", "{q}", "Question: {q}", "Q: {q}", "> {q}", "You asked: {q}", "{q} A:", "{q}\nAnswer:", "Frage: {q} Antwort:", "{q} {q}", '"{q}"'])
-            said = rng.choice([q, q_only, re.sub(r"[?？]\s*$", "", q_only)])
-            copy = shape.format(q=_reworded(said, rng) if rng.random() < 0.35 and len(said.split()) > 3 else said)
-            out.append((i, Pair(q, _dressed(copy, rng), ans), ("copied_question",)))
-            if ans:
-                shape = rng.choice(["Question: {q} Answer: {a}", "{q} {a}", "{q} - {a}.", "Q: {q}\nA: {a}", "Frage: {q} Antwort: {a}", "Question : {q} Réponse : {a}", "Pregunta: {q} Respuesta: {a}"])
-                out.append((i, Pair(q, _dressed(shape.format(q=q_only, a=ans[0]), rng), ans), ()))
-        if rng.random() < 0.5:
-            lang = qlang if qlang and rng.random() < 0.85 else rng.choice(list(REFUSALS))
-            thing = " ".join(re.findall(r"\b[A-Z]\w+ [A-Z]\w+\b", q or "")[:1]) or "this"
-            said = rng.choice(REFUSALS[lang]).replace("{x}", thing)
-            if lang == "en":
-                lead, trail = rng.choice(BEFORE), rng.choice(AFTER)
-                said = lead + (said[0].lower() + said[1:] if lead and not said.startswith(("I ", "I'")) else said) + trail
-            out.append((i, Pair(q, _dressed(said, rng), ans), ("refusal",)))
-            if ans:
-                like = rng.choice(ANSWERS_LIKE_REFUSALS.get(lang, ANSWERS_LIKE_REFUSALS["en"])).replace("{y}", ans[0])
-                if lang == qlang:
-                    out.append((i, Pair(q, _dressed(like, rng), ans), ()))
-        if q and qlang and ans and rng.random() < 0.6:
-            others = [x for x in by_lang if x != qlang and x != detect(q)]
-            if others:
-                donor = rng.choice(by_lang[rng.choice(others)])
-                swapped = donor.text
-                for a in donor.answers:
-                    swapped = swapped.replace(a, ans[0])
-                out.append((i, Pair(q, _dressed(swapped, rng), ans), ("other_language",)))
-        if rng.random() < 0.5:
-            out.append((i, Pair(q, rng.choice(EMPTY_TEXTS), ans if rng.random() < 0.5 else ()), ("empty",)))
+    text, q, ans = r.text or "", r.question, r.answers
+    if rng.random() < 0.15:
+        ans = ()
+    out.append((i, Pair(q, text, ans), ()))
+    qlang = (asked_language(q) or detect(q)) if q else None
+    for _ in range(3):
+        cut = _cut_inside(text, rng)
+        if cut and set(_sequence(_clean(cut), _names(r))) - set("@#.,"):
+            dots = rng.choice(["...", "…"]) if rng.random() < 0.25 else ""
+            out.append((i, Pair(q, cut + dots, ans), ("truncated",)))
+    if len(text.split()) > 3:
+        bare = re.sub(r"[.!?]\s*$", "", text)
+        out.append((i, Pair(q, bare + (rng.choice(["...", "…"]) if rng.random() < 0.1 else ""), ans), ()))
+    if q and rng.random() < 0.6:
+        q_only = re.split(r"(?<=[?？])\s*", q)[0]
+        shape = rng.choice(["{q}", "{q}", "{q}", "Question: {q}", "Q: {q}", "> {q}", "You asked: {q}", "{q} A:", "{q}\nAnswer:", "Frage: {q} Antwort:", "{q} {q}", '"{q}"'])
+        said = rng.choice([q, q_only, re.sub(r"[?？]\s*$", "", q_only)])
+        copy = shape.format(q=_reworded(said, rng) if rng.random() < 0.35 and len(said.split()) > 3 else said)
+        out.append((i, Pair(q, _dressed(copy, rng), ans), ("copied_question",)))
+        if ans:
+            shape = rng.choice(["Question: {q} Answer: {a}", "{q} {a}", "{q} - {a}.", "Q: {q}\nA: {a}", "Frage: {q} Antwort: {a}", "Question : {q} Réponse : {a}", "Pregunta: {q} Respuesta: {a}"])
+            out.append((i, Pair(q, _dressed(shape.format(q=q_only, a=ans[0]), rng), ans), ()))
+    if rng.random() < 0.5:
+        lang = qlang if qlang and rng.random() < 0.85 else rng.choice(list(REFUSALS))
+        thing = " ".join(re.findall(r"\b[A-Z]\w+ [A-Z]\w+\b", q or "")[:1]) or "this"
+        said = rng.choice(REFUSALS[lang]).replace("{x}", thing)
+        if lang == "en":
+            lead, trail = rng.choice(BEFORE), rng.choice(AFTER)
+            said = lead + (said[0].lower() + said[1:] if lead and not said.startswith(("I ", "I'")) else said) + trail
+        out.append((i, Pair(q, _dressed(said, rng), ans), ("refusal",)))
+        if ans:
+            like = rng.choice(ANSWERS_LIKE_REFUSALS.get(lang, ANSWERS_LIKE_REFUSALS["en"])).replace("{y}", ans[0])
+            if lang == qlang:
+                out.append((i, Pair(q, _dressed(like, rng), ans), ()))
+    if q and qlang and ans and rng.random() < 0.6:
+        others = [x for x in by_lang if x != qlang and x != detect(q)]
+        if others:
+            donor = rng.choice(by_lang[rng.choice(others)])
+            swapped = donor.text
+            for a in donor.answers:
+                swapped = swapped.replace(a, ans[0])
+            out.append((i, Pair(q, _dressed(swapped, rng), ans), ("other_language",)))
+    if rng.random() < 0.5:
+        out.append((i, Pair(q, rng.choice(EMPTY_TEXTS), ans if rng.random() < 0.5 else ()), ("empty",)))
+    if q and len(text.split()) > 3 and rng.random() < 0.3:
+        out.append((i, Pair(q, _in_other_letters(text, rng), ans), ("other_language",)))
     return out
 
 
+def synthesise(rows: list[Pair], seed: int = 7) -> list[tuple[int, Pair, tuple[str, ...]]]:
+    """:func:`broken_versions` of all rows."""
+    by_lang = donors_of(rows, [detect(r.text or "", quotes=False) for r in rows])
+    return [x for i, r in enumerate(rows) for x in broken_versions(r, i, by_lang, seed)]
+
+
 @dataclass
 class DefectModel:
     """Weights (features x defects) and thresholds."""
@@ -319,10 +351,12 @@ class DefectModel:
 
     def scores(self, sparse: list[dict[int, float]]) -> np.ndarray:
         """Probabilities, one row per example."""
-        z = np.zeros((len(sparse), len(DEFECTS)))
-        for i, f in enumerate(sparse):
-            idx = np.fromiter(f.keys(), dtype=np.int64, count=len(f))
-            z[i] = np.fromiter(f.values(), dtype=float, count=len(f)) @ self.weights[idx]
+        if not sparse:
+            return np.zeros((0, len(DEFECTS)))
+        sizes = np.array([len(f) for f in sparse])
+        idx = np.fromiter((k for f in sparse for k in f), dtype=np.int64, count=sizes.sum())
+        val = np.fromiter((v for f in sparse for v in f.values()), dtype=float, count=sizes.sum())
+        z = np.add.reduceat(val[:, None] * self.weights[idx], np.cumsum(sizes) - sizes, axis=0)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -339,12 +373,12 @@ def _train(sparse: list[dict[int, float]], y: np.ndarray, epochs: int = 6, rate:
             batch = order[s : s + 64]
             cols, vals = np.concatenate([idx[i] for i in batch]), np.concatenate([val[i] for i in batch])
             row = np.repeat(np.arange(len(batch)), size[batch])
-            z = np.zeros((len(batch), len(DEFECTS)))
-            np.add.at(z, row, vals[:, None] * w[cols])
+            z = np.add.reduceat(vals[:, None] * w[cols], np.cumsum(size[batch]) - size[batch], axis=0)
             err = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[batch]
-            uniq, inv = np.unique(cols, return_inverse=True)
-            grad = np.zeros((len(uniq), len(DEFECTS)))
-            np.add.at(grad, inv, vals[:, None] * err[row])
+            by = np.argsort(cols, kind="stable")
+            starts = np.flatnonzero(np.r_[True, np.diff(cols[by]) > 0])
+            uniq = cols[by][starts]
+            grad = np.add.reduceat((vals[:, None] * err[row])[by], starts, axis=0)
             grad = grad / len(batch) + l2 * w[uniq]
             g2[uniq] += grad**2
             w[uniq] -= rate * grad / np.sqrt(g2[uniq])
@@ -364,32 +398,71 @@ def _thresholds(p: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.array(out)
 
 
-def fit_model(rows: list[Pair], seed: int = 7) -> DefectModel:
+def _facts(rows: list[Pair], i: int) -> tuple:
+    """(whether row ``i`` serves as a sound one, its language, its sentence ends)."""
+    f = features(rows[i])[1]
+    sound = f["has_answer"] and (f["own"] is None or f["own"] in f["wanted"]) and (f["full_stop"] or f["said"] <= 4)
+    return sound, detect(rows[i].text or "", quotes=False), sentence_ends(rows[i])
+
+
+def _examples(rows: list[Pair], i: int, by_lang: dict[str, list[Pair]], endings: frozenset[int], seed: int) -> list[tuple]:
+    """(source row, defects, features) of row ``i`` and its broken versions."""
+    return [(j, labels, features(p, endings)[0]) for j, p, labels in broken_versions(rows[i], i, by_lang, seed)]
+
+
+def _here(rows: list[Pair], work, picks: list[int], *args) -> list:
+    return [work(rows, i, *args) for i in picks]
+
+
+def on_workers(spark: SparkSession) -> Callable:
+    """A replacement of :func:`_here` that spreads the rows over the workers; what comes back is bounded by ``SAMPLE``."""
+
+    def run(rows: list[Pair], work, picks: list[int], *args) -> list:
+        shared = spark.sparkContext.broadcast((rows, args))
+
+        def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            rows, args = shared.value
+            for pdf in batches:
+                yield pd.DataFrame({"i": pdf["i"], "got": [pickle.dumps(work(rows, i, *args)) for i in pdf["i"]]})
+
+        n = max(1, min(len(picks), spark.sparkContext.defaultParallelism))
+        ids = spark.createDataFrame(pd.DataFrame({"i": np.array(picks, dtype=np.int64)})).repartition(n, "i")
+        got = {r.i: pickle.loads(r.got) for r in ids.mapInPandas(part, "i long, got binary").collect()}
+        return [got[i] for i in picks]
+
+    return run
+
+
+def fit_model(rows: list[Pair], seed: int = 7, over: Callable = _here) -> DefectModel:
     """Fit on responses of unknown quality; see the module text. Deterministic in the order of the rows.
 
     Responses that end in a full stop or are short, speak the language of their question and contain one of
-    their known answers serve as sound ones (all rows, where fewer than a fifth are like that).
+    their known answers serve as sound ones (all rows, where fewer than a fifth are like that). ``over`` runs the
+    work for each row: here, or on the workers.
     """
-    sure = []
-    for i, r in enumerate(rows):
-        f = features(r)[1]
-        if f["has_answer"] and (f["own"] is None or f["own"] in f["wanted"]) and (f["full_stop"] or f["said"] <= 4):
-            sure.append(i)
+    facts = over(rows, _facts, list(range(len(rows))))
+    sure = [i for i, f in enumerate(facts) if f[0]]
     keep = sure if len(sure) >= 0.2 * len(rows) else list(range(len(rows)))
+    endings = endings_of([facts[i][2] for i in keep])
+    by_lang = donors_of([rows[i] for i in keep], [facts[i][1] for i in keep])
+    made = [x for xs in over(rows, _examples, keep, by_lang, endings, seed) for x in xs]
     model = None
     for _ in range(ROUNDS):
-        made = synthesise([rows[i] for i in keep], seed)
-        endings = endings_of([rows[i] for i in keep])
-        sparse = [features(p, endings)[0] for _, p, _ in made]
-        y = np.array([[float(d in labels) for d in DEFECTS] for _, _, labels in made]).reshape(len(made), len(DEFECTS))
-        held = np.array([zlib.crc32(str(keep[i]).encode()) % 5 == 0 for i, _, _ in made])
+        kept = set(keep)
+        made = [x for x in made if x[0] in kept]
+        sparse = [f for _, _, f in made]
+        y = np.array([[float(d in labels) for d in DEFECTS] for _, labels, _ in made]).reshape(len(made), len(DEFECTS))
+        held = np.array([zlib.crc32(str(i).encode()) % 5 == 0 for i, _, _ in made])
         if not len(made) or held.all() or not held.any():
             held = np.zeros(len(made), bool)
         w = _train([s for s, h in zip(sparse, held) if not h], y[~held])
         model = DefectModel(w, np.full(len(DEFECTS), 0.5), endings)
         test = held if held.any() else ~held
         model.thresholds = _thresholds(model.scores([s for s, t in zip(sparse, test) if t]), y[test])
-        own = model.scores([features(rows[i], endings)[0] for i in keep])
+        firsts: dict[int, dict] = {}
+        for i, _, f in made:  # the row itself comes before its broken versions
+            firsts.setdefault(i, f)
+        own = model.scores([firsts[i] for i in keep])
         keep = [i for i, s in zip(keep, own) if not (s >= SUSPECT).any()] or keep
     return model
 
@@ -408,10 +481,12 @@ def defects_of(model: DefectModel, pairs: list[Pair]) -> list[list[str]]:
             over.discard("empty")
         if f["covered"] < 0.5 or f["near"] > max(3, 0.3 * f["said"]) or f["adds_answer"]:
             over.discard("copied_question")
-        if f["own"] is None or not f["wanted"] or f["own"] in f["wanted"]:
+        if not f["foreign"] and (f["own"] is None or not f["wanted"] or f["own"] in f["wanted"]):
             over.discard("other_language")
         if f["said"] < 2 or f["full_stop"] or f["is_answer"]:
             over.discard("truncated")
+        if f["foreign"] and "other_language" in over:  # what it says in other letters is not read
+            over.discard("refusal")
         for alone in ("empty", "copied_question", "refusal"):
             if alone in over:
                 over = {alone}
@@ -429,7 +504,7 @@ def flag_defects(df: DataFrame, row_id: str, question: str, text: str, answers:
     picked = base.where("q is not null and t is not null").orderBy(F.xxhash64("row_id"), "row_id").limit(sample).collect()
     rows = [Pair(r.q, r.t, tuple(x for x in (r.a or []) if x)) for r in picked]
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(fit_model(rows) if rows else None)
+    shared = spark.sparkContext.broadcast(fit_model(rows, over=on_workers(spark)) if rows else None)
     kind = base.schema["row_id"].dataType.simpleString()
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -83,7 +83,8 @@ def test_mixture_meets_shares_within_caps(spark):
     targets = spark.createDataFrame([("big", 0.5, 1), ("mid", 0.3, 2), ("small", 0.2, 4), ("absent", 0.1, 2)], "source string, target_share double, max_repeats int")
     copies, report = mixing.mix(df, "id", "s", "t", targets)
     rep = {r.source: r for r in report.collect()}
-    assert set(rep) == {"big", "mid", "small"}
+    gone = rep.pop("absent")
+    assert set(rep) == {"big", "mid", "small"} and (gone.documents, gone.tokens, gone.actual_share) == (0, 0, 0.0) and gone.target_share == pytest.approx(0.1 / 1.1)
     for s, share in (("big", 0.5), ("mid", 0.3), ("small", 0.2)):
         assert abs(rep[s].actual_share - share) < 0.02
         assert rep[s].most_copies <= {"big": 1, "mid": 2, "small": 4}[s]
@@ -104,7 +105,14 @@ def test_mixture_of_a_given_size(spark):
     with pytest.raises(ValueError, match="mid"):
         mixing.mix(df, "id", "s", "t", targets, total=10**9)
     copies, report = mixing.mix(df.limit(0), "id", "s", "t", targets)
-    assert copies.isEmpty() and report.isEmpty()
+    assert copies.isEmpty() and {(r.source, r.documents, r.actual_share) for r in report.collect()} == {("big", 0, 0.0), ("mid", 0, 0.0)}
+
+
+def test_sources_of_long_texts_are_evened_out_too(spark):
+    rng = random.Random(7)
+    df = spark.createDataFrame([(i, rng.choice("ab"), rng.randrange(5_000, 60_000)) for i in range(400)], "id long, s string, t long")
+    _, report = mixing.mix(df, "id", "s", "t", spark.createDataFrame([("a", 0.6, 1), ("b", 0.4, 3)], "source string, target_share double, max_repeats int"))
+    assert all(abs(r.actual_share - r.target_share) < 0.002 for r in report.collect())
 
 
 def test_rates_solve_the_dual(spark):

@@ -9,6 +9,22 @@ from pyspark.sql import functions as F
 
 from lucidra.llm import cutoffs, formatting, pairs, splits
 
+NAMES = ["Marolin Tepas", "Vukor Desin", "Bolath Rimex", "Zanod Kuvil", "Petrag Solum", "Havin Dorask"]
+
+def test_assignment_with_many_labels(spark):
+    rng = random.Random(6)
+    rows = [(c, x, rng.choice([1, 1, 2])) for c in range(4000) for x in (f"a={rng.randrange(30)}", f"b={rng.choice('xyz')}")]
+    rows += [(9000 + k, x, 150) for k in range(3) for x in ("a=1", "b=x")]
+    target = {"p": 0.6, "q": 0.4}
+    placed = splits.stratified_assignment(spark.createDataFrame(rows, "component long, label string, m long"), target)
+    got = {r.component: r.split for r in placed.collect()}
+    assert len(got) == 4003 and placed.count() == 4003
+    for label in {x for _, x, _ in rows}:
+        each = [(got[c], m) for c, x, m in rows if x == label]
+        share = sum(m for s, m in each if s == "p") / sum(m for _, m in each)
+        assert abs(share - 0.6) < max(0.08, max(m for _, m in each) / sum(m for _, m in each)), (label, share)
+
+
 def test_link_tokens(spark):
     rows = [
         (1, '{"entity_id": " ENT-1 ", "chain_id": "n/a"}'), (2, '{"entity_id": ["ent-1", "ent-2", "Unknown", ""]}'), (3, '{"chain_id": "ent-2"}'), (4, '{"entity_id": "ent-2"}'),
@@ -89,6 +105,13 @@ def test_formatting_classes_against_brute_force(spark):
     assert formatting.formatting_classes(df.limit(0), "row_id", "q", "a").isEmpty()
 
 
+def test_collapse_leaves_one_row_even_of_repeated_ids(spark):
+    rows = [(1, "Who led it?", ["a"]), (1, "Who led it?", ["a"]), (2, "who led it", ["A."]), (3, "Who else?", []), (None, "Who else", None)]
+    df = spark.createDataFrame(rows, "row_id long, q string, a array<string>").withColumn("_key", F.lit("clash"))
+    got = {(r.row_id, r.copies) for r in formatting.collapse(df.drop("_key"), "row_id", "q", "a").collect()}
+    assert got == {(1, 3), (3, 2)}
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_cutoffs_against_sorting_and_in_batches(spark, tmp_path, seed):
     rng = random.Random(seed)
@@ -152,6 +175,8 @@ def test_no_defects(answers):
     broken = [None, "", "N/A", "<p></p>", q, "I'm sorry, but I can't help with that.", "Die Antwort lautet " + a[0] + ", wie es in den Unterlagen über sie steht."]
     got = pairs.defects_of(model, [pairs.Pair(q, t, a) for t in broken])
     assert got == [["empty"]] * 4 + [["copied_question"], ["refusal"], ["other_language"]]
+    other_script = ["Это было в городе, который указан в старых записях.", "答えは古い記録に書かれている町です。"]
+    assert all("other_language" in g for g in pairs.defects_of(model, [pairs.Pair(q, t, a) for t in other_script]))
 
 
 def test_flags_on_odd_tables(spark, answers):
