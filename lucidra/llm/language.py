@@ -31,7 +31,7 @@ LANGUAGE_NAMES = {
     "es": "spanish spanisch espagnol español espanol castellano",
 }
 _WORD = re.compile(r"[^\W\d_]+")
-_QUOTED = re.compile(r"\"[^\"]{1,300}\"|“[^”]{1,300}”|«[^»]{1,300}»|„[^“”]{1,300}[“”]")
+_QUOTED = re.compile(r"\"[^\"]+\"|“[^”]+”|«[^»]+»|„[^“”]+[“”]")
 _ASKED = re.compile(r"\b(?:in|auf|en)\s+([^\W\d_]+)", re.IGNORECASE)
 
 

@@ -78,7 +78,7 @@ ANSWERS_LIKE_REFUSALS = {
     "fr": ['Le témoin a dit "je ne sais pas", mais le dossier donne {y}.', "Je ne suis pas certain, mais c'est sans doute {y}."],
     "es": ['El testigo dijo "no lo sé", pero el acta da {y}.', "No estoy seguro, pero parece que es {y}."],
 }
-_TAG = re.compile(r"<[^<>]{0,200}>|[*_#`>|~]+")
+_TAG = re.compile(r"<[^<>]*>|[*_#`>|~]+")
 _TOKEN = re.compile(r"\d[\d.,]*\d|\d|[^\W\d_]+(?:['’][^\W\d_]+)*|[^\w\s]")
 _END = re.compile(r"[.!?。？！)\]}\"”»'’*…:;]\s*$")
 

@@ -2,8 +2,8 @@
 
 For each language the words of all documents are ranked by frequency. The coverage rank of a document
 is the size of the smallest vocabulary, in that order, that covers a fixed share of its words. Coverage
-ranks at several shares and the complexity of the sentences are calibrated on the labelled documents
-(a fixed, small table) by a multinomial logistic fit; the scores are then plain column arithmetic.
+ranks at several shares and the complexity of the sentences are calibrated in SQL on the labelled documents
+by an ordinal logistic fit: sums for its Newton steps are aggregates, the scores are column arithmetic.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lucidra.llm.language import FUNCTION_WORDS, votes
-from lucidra.util import cut, skew_join
+from lucidra.llm.language import FUNCTION_WORDS
+from lucidra.util import cut
 
 SHARES = (0.5, 0.7, 0.8, 0.9, 0.95)
 BANDS = (1, 2, 3, 4)
@@ -31,10 +31,11 @@ PIECE = 500
 #: Least share of a text's parts that must be words for it to count as prose.
 PROSE = 0.5
 
-_MARKUP = re.compile(r"<[^<>]{0,200}>|\*\*|__|^#+\s|^\s*[-*•]\s+|^\s*\d+[.)]\s", re.MULTILINE)
+_MARKUP = re.compile(r"<[^<>]*>|\*\*|__|^#+\s|^\s*[-*•]\s+|^\s*\d+[.)]\s", re.MULTILINE)
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-_PART = re.compile(r"\S+")
+_APOSTROPHE = re.compile("['’]")
+_WORDY = re.compile(r"(?<!\S)[\"'“”«»(\[¿¡]*[^\W\d_]+(?:['’-][^\W\d_]+)*[\"'“”«».,;:!?…)\]]*(?!\S)")
 COMPLEXITY = ("mean_sentence", "longest_sentence", "median_sentence", "word_length", "long_words", "longest_words", "commas", "function_words", "semicolons", "variety")
 
 
@@ -43,38 +44,42 @@ def describe(text: str | None) -> dict | None:
     if not text or not text.strip():
         return None
     bare = _MARKUP.sub("\n", text)
-    parts = _PART.findall(bare)
-    wordy = sum(bool(re.fullmatch(r"[\"'“”«»(\[¿¡]*[^\W\d_]+(?:['’-][^\W\d_]+)*[\"'“”«».,;:!?…)\]]*", p)) for p in parts)
-    if not parts or wordy < PROSE * len(parts):
+    parts = len(bare.split())
+    if not parts or len(_WORDY.findall(bare)) < PROSE * parts:
         return None
-    sentences = [s for s in (_WORD.findall(x.lower()) for x in _SENTENCE.split(bare)) if s]
-    words = [w for s in sentences for w in s]
-    if not words:
+    sentences = [s for s in (_WORD.findall(x) for x in _SENTENCE.split(bare.lower())) if s]
+    if not sentences:
         return None
-    counted = votes(bare)
-    lang = max(counted, key=counted.get)
+    counts = Counter(w for s in sentences for w in s)
+    plain: Counter = Counter()
+    for w, n in counts.items():
+        for x in _APOSTROPHE.split(w):
+            plain[x] += n
+    known = {lang: sum(plain[w] for w in words) for lang, words in FUNCTION_WORDS.items()}
+    lang = max(known, key=known.get)
     lengths = np.array([len(s) for s in sentences])
-    sizes = np.array([len(w) for w in words])
-    known = FUNCTION_WORDS[lang]
+    n = np.fromiter(counts.values(), dtype=np.int64, count=len(counts))
+    sizes = np.fromiter(map(len, counts), dtype=np.int64, count=len(counts))
+    n_words = int(n.sum())
     return {
         "lang": lang,
-        "words": Counter(words),
-        "n_words": len(words),
+        "words": counts,
+        "n_words": n_words,
         "mean_sentence": float(np.log(lengths.mean())),
         "longest_sentence": float(np.log(lengths.max())),
         "median_sentence": float(np.log(np.median(lengths))),
-        "word_length": float(sizes.mean()),
-        "long_words": float((sizes >= 9).mean()),
-        "longest_words": float((sizes >= 13).mean()),
+        "word_length": float((sizes * n).sum() / n_words),
+        "long_words": float(n[sizes >= 9].sum() / n_words),
+        "longest_words": float(n[sizes >= 13].sum() / n_words),
         "commas": bare.count(",") / len(sentences),
-        "function_words": float(np.mean([w in known for w in words])),
+        "function_words": sum(counts[w] for w in FUNCTION_WORDS[lang] if w in counts) / n_words,
         "semicolons": bare.count(";") / len(sentences),
-        "variety": len(set(words)) / len(words) ** 0.5 / 10,
+        "variety": len(counts) / n_words**0.5 / 10,
     }
 
 
 def described(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``doc_id, lang, n_words``, the complexity columns and ``words`` (word, n) of the prose documents; whole texts."""
+    """``doc_id, lang, n_words``, the complexity columns, ``words`` and their counts ``ns`` of the prose documents; whole texts."""
     kind = df.select(doc_id).schema[0].dataType.simpleString()
     numbers = ", ".join(f"{c} double" for c in COMPLEXITY)
 
@@ -85,12 +90,11 @@ def described(df: DataFrame, doc_id: str, text: str) -> DataFrame:
                 for i, t in zip(pdf["doc_id"], pdf["text"]):
                     d = describe(t if isinstance(t, str) else None)
                     if d:
-                        words = [{"word": w, "n": n} for w, n in d["words"].items()]
-                        rows.append((i, d["lang"], d["n_words"], *[d[c] for c in COMPLEXITY], words))
-                yield pd.DataFrame(rows, columns=["doc_id", "lang", "n_words", *COMPLEXITY, "words"])
+                        rows.append((i, d["lang"], d["n_words"], *[d[c] for c in COMPLEXITY], list(d["words"]), list(d["words"].values())))
+                yield pd.DataFrame(rows, columns=["doc_id", "lang", "n_words", *COMPLEXITY, "words", "ns"])
 
     return df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(
-        work, f"doc_id {kind}, lang string, n_words long, {numbers}, words array<struct<word:string,n:long>>"
+        work, f"doc_id {kind}, lang string, n_words long, {numbers}, words array<string>, ns array<long>"
     )
 
 
@@ -107,11 +111,13 @@ def word_ranks(each: DataFrame) -> DataFrame:
 
 def coverage_ranks(docs: DataFrame) -> DataFrame:
     """``doc_id`` and the logarithm of the coverage rank at each of ``SHARES``."""
-    each = docs.select("doc_id", "lang", F.inline("words")).withColumn("key", F.concat_ws(":", "lang", "word"))
+    each = docs.select("doc_id", "lang", F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("ns").alias("n")))).withColumn("key", F.concat_ws(":", "lang", "word"))
     ranks = cut(word_ranks(each.select("lang", "key", "n")))
     total = ranks.agg(F.sum("n")).first()[0] or 0
-    hot = [r.key for r in ranks.where(F.col("n") >= max(2.0, FREQUENT * total)).select("key").collect()]
-    ranked = skew_join(each.select("doc_id", "key", F.col("n").alias("m")), ranks.select("key", "rank"), "key", hot=hot)
+    often = F.col("n") >= F.lit(max(2.0, FREQUENT * total))
+    met = each.select("doc_id", "key", F.col("n").alias("m")).join(F.broadcast(ranks.where(often).select("key", F.col("rank").alias("known"))), "key", "left")
+    rare = met.where("known is null").drop("known").join(ranks.where(~often).select("key", "rank"), "key")
+    ranked = met.where("known is not null").withColumnRenamed("known", "rank").unionByName(rare)
     by_rank = ranked.groupBy("doc_id", "rank").agg(F.sum("m").alias("m"))
     through = F.sum("m").over(W.partitionBy("doc_id").orderBy("rank").rowsBetween(W.unboundedPreceding, 0))
     words = F.sum("m").over(W.partitionBy("doc_id"))
@@ -121,44 +127,73 @@ def coverage_ranks(docs: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class BandModel:
-    """Centre, spread and weights (features + bias by band) of the calibration."""
+    """Centre and spread of the features and the weights (features + bias) of "the band is above b", for all bands but the last."""
 
     names: tuple[str, ...]
     centre: np.ndarray
     spread: np.ndarray
     weights: np.ndarray
 
+    def design(self) -> Column:
+        """The standardised features and a constant, as an array."""
+        return F.array(*[(F.col(c) - float(m)) / float(s) for c, m, s in zip(self.names, self.centre, self.spread)], F.lit(1.0))
+
+    def above(self, design: Column) -> list[Column]:
+        """How likely the band is above each of ``BANDS`` but the last."""
+        out = []
+        for w in self.weights:
+            terms = F.zip_with(design, F.array(*[F.lit(float(v)) for v in w]), lambda x, y: x * y)
+            z = F.aggregate(terms, F.lit(0.0), lambda t, x: t + x)
+            out.append(1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z)))))
+        return out
+
     def band(self) -> Column:
-        """The band with the highest score, as a column of the features; ties go to the lower band."""
+        """The likeliest band, as a column of the features; ties go to the lower band."""
+        rest = F.lit(1.0)
         scores = []
-        for b, band in enumerate(BANDS):
-            z = F.lit(float(self.weights[-1, b]))
-            for i, name in enumerate(self.names):
-                z = z + (F.col(name) - float(self.centre[i])) * float(self.weights[i, b] / self.spread[i])
-            scores.append(F.struct(z.alias("z"), F.lit(-band).alias("b")))
+        for b, above in zip(BANDS, [*self.above(self.design()), F.lit(0.0)]):
+            scores.append(F.struct((rest - F.least(rest, above)).alias("p"), F.lit(-b).alias("b")))
+            rest = F.least(rest, above)
         return -F.array_max(F.array(*scores))["b"]
 
 
-def fit_bands(x: np.ndarray, y: np.ndarray, names: tuple[str, ...], l2: float = 1e-3, rounds: int = 500) -> BandModel:
-    """Multinomial logistic regression of band shares ``y`` (rows sum to 1) on standardised features."""
-    centre, spread = x.mean(0), x.std(0) + 1e-9
-    z = np.c_[(x - centre) / spread, np.ones(len(x))]
-    w, m, v = (np.zeros((z.shape[1], y.shape[1])) for _ in range(3))
-    for t in range(1, rounds + 1):
-        s = z @ w
-        p = np.exp(s - s.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        g = z.T @ (p - y) / len(z) + l2 * w
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-    return BandModel(names, centre, spread, w)
+def fit_bands(marked: DataFrame, names: tuple[str, ...], l2: float = 0.3, rounds: int = 6) -> BandModel | None:
+    """The calibration: an ordinal logistic fit by Newton steps whose sums are SQL aggregates over ``marked``.
+
+    ``marked``: the features and ``share``, the shares of the raters for each of ``BANDS``. The driver solves systems as
+    large as there are features; the labelled documents stay where they are. None without labels.
+    """
+    stats = marked.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m_{c}") for c in names], *[F.stddev_pop(c).alias(f"s_{c}") for c in names]).first()
+    if not stats.n:
+        return None
+    size, k = len(names) + 1, len(BANDS) - 1
+    model = BandModel(names, np.array([stats[f"m_{c}"] for c in names]), np.array([stats[f"s_{c}"] for c in names]) + 1e-9, np.zeros((k, size)))
+    wanted = F.transform(F.sequence(F.lit(2), F.lit(k + 1)), lambda b: F.aggregate(F.slice("share", b, F.lit(k + 1)), F.lit(0.0), lambda t, x: t + x))
+    rows = cut(marked.select(model.design().alias("z"), wanted.alias("wanted")))
+    for _ in range(rounds):
+        each = rows.select("z", F.posexplode(F.arrays_zip("wanted", F.array(*model.above(F.col("z"))).alias("p"))).alias("b", "x")).select("z", "b", F.col("x.wanted").alias("y"), F.col("x.p").alias("p"))
+        slope = F.transform("z", lambda v: v * (F.col("p") - F.col("y")))
+        curve = F.flatten(F.transform("z", lambda v, i: F.transform(F.slice("z", i + 1, F.lit(size)), lambda u: v * u * F.col("p") * (1 - F.col("p")))))
+        sums = each.select("b", F.posexplode(F.concat(slope, curve)).alias("i", "v")).groupBy("b", "i").agg(F.sum("v").alias("v")).collect()
+        slopes, curves, half = np.zeros((k, size)), np.zeros((k, size, size)), np.triu_indices(size)
+        for r in sums:
+            if r.i < size:
+                slopes[r.b, r.i] = r.v
+            else:
+                u, v = half[0][r.i - size], half[1][r.i - size]
+                curves[r.b, u, v] = curves[r.b, v, u] = r.v
+        moves = [np.linalg.solve(c + l2 * np.eye(size), s + l2 * w) for c, s, w in zip(curves, slopes, model.weights)]
+        model = BandModel(names, model.centre, model.spread, model.weights - np.array(moves))
+        if max(np.abs(m).max() for m in moves) < 1e-3:
+            break
+    return model
 
 
 def reading_features(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """All features of the prose documents, one row each."""
     docs = cut(described(df, doc_id, text))
     langs = [F.when(F.col("lang") == x, 1.0).otherwise(0.0).alias(f"is_{x}") for x in ("en", "de", "fr")]
-    return docs.drop("words").join(coverage_ranks(docs), "doc_id").select("*", *langs)
+    return docs.drop("words", "ns").join(coverage_ranks(docs), "doc_id").select("*", *langs)
 
 
 def reading_bands(df: DataFrame, doc_id: str, text: str, labels: DataFrame) -> DataFrame:
@@ -170,10 +205,10 @@ def reading_bands(df: DataFrame, doc_id: str, text: str, labels: DataFrame) -> D
     """
     table = cut(reading_features(df, doc_id, text))
     names = (*[f"rank_{i}" for i in range(len(SHARES))], *COMPLEXITY, "is_en", "is_de", "is_fr")
-    marked = table.join(F.broadcast(labels.where(F.col("band").isin(list(BANDS))).select("doc_id", F.col("band").alias("label"))), "doc_id")
-    got = marked.groupBy("doc_id", *names).agg(*[F.count_if(F.col("label") == b).alias(f"b{b}") for b in BANDS]).orderBy("doc_id").collect()
-    if not got:
+    said = labels.where(F.col("band").isin(list(BANDS))).select("doc_id", F.col("band").alias("label"))
+    counts = table.join(said, "doc_id").groupBy("doc_id", *names).agg(*[F.count_if(F.col("label") == b).alias(f"_b{b}") for b in BANDS])
+    raters = sum((F.col(f"_b{b}") for b in BANDS), F.lit(0))
+    model = fit_bands(cut(counts.withColumn("share", F.array(*[F.col(f"_b{b}") / raters for b in BANDS]))), names)
+    if model is None:
         return table.select("doc_id", F.lit(None).cast("int").alias("band")).limit(0)
-    y = np.array([[r[f"b{b}"] for b in BANDS] for r in got], dtype=float)
-    model = fit_bands(np.array([[r[n] for n in names] for r in got], dtype=float), y / y.sum(1, keepdims=True), names)
     return table.select("doc_id", model.band().cast("int").alias("band"))
