@@ -9,7 +9,7 @@ from lucidra.functions import dimensions as dim
 from lucidra.functions import numeric, text
 from lucidra.operators import composition, lineage, records, select
 from lucidra.plans.metric_queries import EDGE, SC, rounded, scored
-from lucidra.plans.shred_queries import certificate_children, certificate_store
+from lucidra.plans.shred_queries import ASM_SQL, certificate_children, certificate_store
 from lucidra.session import load
 
 
@@ -340,7 +340,7 @@ ORACLES = {
     "split_leakage": f"""WITH t AS (SELECT 'source_fact_id' key, lower(metadata->>'$.source_fact_id') v, {_sqltrim('split')} s FROM example_record UNION ALL SELECT 'question_hash', lower(metadata->>'$.question_hash'), {_sqltrim('split')} FROM example_record),
  l AS (SELECT key, trim(v) v, count(DISTINCT s) s FROM t WHERE trim(v) <> '' AND s IS NOT NULL GROUP BY ALL HAVING count(DISTINCT s) > 1) SELECT key, s::INT AS splits, count(*) AS n FROM l GROUP BY ALL""",
     "closure": f"""WITH RECURSIVE w AS (SELECT {_sqltrim('example_id')} p, constituent_example_ids c FROM workload_record), e AS (SELECT DISTINCT p, lower(trim(x)) x FROM (SELECT p, unnest(c) x FROM w) WHERE p IS NOT NULL AND lower(trim(x)) <> ''),
- r(id, d) AS (SELECT DISTINCT p, 0 FROM w WHERE len(c) >= 3 AND p IS NOT NULL UNION SELECT e.x, d + 1 FROM r JOIN e ON e.p = r.id WHERE d < 50 AND NOT EXISTS (SELECT 1 FROM w w2 WHERE len(w2.c) >= 3 AND w2.p = e.x))
+ r(id, d) AS (SELECT DISTINCT p, 0 FROM w WHERE len(c) > 0 AND p IS NOT NULL UNION SELECT e.x, d + 1 FROM r JOIN e ON e.p = r.id WHERE d < 50 AND NOT EXISTS (SELECT 1 FROM w w2 WHERE len(w2.c) > 0 AND w2.p = e.x))
  SELECT depth, count(*) AS n FROM (SELECT id, min(d)::INT AS depth FROM r GROUP BY id) GROUP BY depth""",
     "anti_missing": """SELECT 'missing' AS side, count(*) AS n FROM (SELECT DISTINCT example_id FROM example_record WHERE example_id IS NOT NULL AND example_id NOT IN (SELECT example_id FROM workload_record WHERE example_id IS NOT NULL))
  UNION ALL SELECT 'unexpected', count(*) FROM (SELECT DISTINCT example_id FROM workload_record WHERE example_id IS NOT NULL AND example_id NOT IN (SELECT example_id FROM example_record WHERE example_id IS NOT NULL)) HAVING count(*) > 0""",
@@ -374,7 +374,11 @@ ORACLES = {
             ("correctness_rule", "coalesce(trim(correctness_rule), '') = ''"),
         ],
     ),
-    "certificate_guarantee": """WITH j AS (SELECT payload::JSON j FROM read_certificate WHERE json_valid(payload)) SELECT CASE WHEN j->>'$.evaluation_track' = 'open_ended_stress' THEN 'none_open_ended_generated_candidates'
- WHEN NOT coalesce(try_cast(j->>'$.calibration_supported' AS BOOLEAN), false) THEN 'none_unsupported_calibration' WHEN j->>'$.coverage_scope' IS NULL THEN 'none_not_claimed' WHEN j->>'$.coverage_scope' = 'marginal' THEN 'finite_label_marginal_under_recorded_assumptions'
- ELSE 'finite_label_group_marginal_under_recorded_assumptions' END AS status, count(*) AS n FROM j GROUP BY 1""",
+    "certificate_guarantee": f"""WITH {ASM_SQL},
+ held AS (SELECT row_id, count(DISTINCT k) FILTER (t IN ('true','yes','1','1.0') AND k IN ({', '.join(f"'{a}'" for a in ASSUMPTIONS)})) = {len(ASSUMPTIONS)} AND NOT bool_or(t IN ('false','no','0','0.0')) hold
+  FROM asm WHERE k <> '' AND t IN ('true','yes','1','1.0','false','no','0','0.0') GROUP BY row_id),
+ j AS (SELECT row_id, payload::JSON j FROM read_certificate WHERE json_valid(payload)) SELECT CASE WHEN j->>'$.evaluation_track' = 'open_ended_stress' THEN 'none_open_ended_generated_candidates'
+ WHEN NOT coalesce(try_cast(j->>'$.calibration_supported' AS BOOLEAN), false) THEN 'none_unsupported_calibration' WHEN NOT coalesce(hold, false) THEN 'none_assumptions_not_satisfied'
+ WHEN j->>'$.coverage_scope' IS NULL THEN 'none_not_claimed' WHEN j->>'$.coverage_scope' = 'marginal' THEN 'finite_label_marginal_under_recorded_assumptions'
+ ELSE 'finite_label_group_marginal_under_recorded_assumptions' END AS status, count(*) AS n FROM j LEFT JOIN held USING (row_id) GROUP BY 1""",
 }

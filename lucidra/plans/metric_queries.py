@@ -127,9 +127,9 @@ def r7_decisions(spark: SparkSession, d: str) -> DataFrame:
     return policy.decide_r7(g, "answer", "confidence").groupBy("threshold", "policy_level", "action", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-_ISO = f"""WITH {SC}, h AS (SELECT track, floor(conf * 50) / 50.0 s, count(*) n, sum(y) p FROM sc GROUP BY ALL),
+_ISO = f"""WITH {SC}, h AS (SELECT track, conf s, count(*) n, sum(y) p FROM sc GROUP BY ALL),
  c AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY s) i, sum(n) OVER (PARTITION BY track ORDER BY s) cn, sum(p) OVER (PARTITION BY track ORDER BY s) cp FROM h),
- m AS (SELECT a.track, x.i, a.i lo, min((b.cp - a.cp + a.p) / (b.cn - a.cn + a.n)::DOUBLE) v FROM c x JOIN c a ON a.track = x.track AND a.i <= x.i JOIN c b ON b.track = x.track AND b.i >= x.i GROUP BY ALL),
+ m AS (SELECT a.track, b.i, min((b.cp - a.cp + a.p) / (b.cn - a.cn + a.n)::DOUBLE) OVER (PARTITION BY a.track, a.i ORDER BY b.i DESC) v FROM c a JOIN c b ON a.track = b.track AND a.i <= b.i),
  iso AS (SELECT x.track, x.s, x.n, max(m.v) v FROM c x JOIN m ON m.track = x.track AND m.i = x.i GROUP BY ALL)"""
 
 
@@ -263,13 +263,13 @@ ORACLES = {
     "level_weights": f"WITH {SC}, k AS (SELECT track, level, count(*) n FROM sc GROUP BY ALL) SELECT track, level, n, round(sum(n) OVER (PARTITION BY track) / (count(*) OVER (PARTITION BY track) * n)::DOUBLE, 9) AS weight FROM k",
     "isotonic": _ISO + " SELECT track, round(s, 9) AS s, n, round(v, 9) AS v FROM iso",
     "isotonic_apply": _ISO
-    + " SELECT sc.track, count(*) AS n, round(avg((s - y) ** 2), 9) AS before, round(avg((v - y) ** 2), 9) AS after FROM sc JOIN iso ON iso.track = sc.track AND iso.s = floor(conf * 50) / 50.0 GROUP BY sc.track",
+    + " SELECT sc.track, count(*) AS n, round(avg((s - y) ** 2), 9) AS before, round(avg((v - y) ** 2), 9) AS after FROM sc JOIN iso ON iso.track = sc.track AND iso.s = conf GROUP BY sc.track",
     "wilson": f"""WITH {SC}, k AS (SELECT track, level, sum(y) k, count(*) n, 1.959963984540054::DOUBLE z FROM sc GROUP BY ALL), c AS (SELECT *, k / n::DOUBLE p FROM k)
  SELECT track, level, k::BIGINT AS k, n, round(greatest(0, (p + z*z/(2*n) - z*sqrt(p*(1-p)/n + z*z/(4*n*n))) / (1 + z*z/n)), 9) AS lower, round(least(1, (p + z*z/(2*n) + z*sqrt(p*(1-p)/n + z*z/(4*n*n))) / (1 + z*z/n)), 9) AS upper FROM c""",
     "holm": """WITH p AS (SELECT o_orderpriority, (count(*) % 97) / 1000.0::DOUBLE p FROM orders GROUP BY ALL), r AS (SELECT *, least(1, (count(*) OVER () - row_number() OVER (ORDER BY p, o_orderpriority) + 1) * p) s FROM p)
  SELECT o_orderpriority, round(p, 9) AS p, round(max(s) OVER (ORDER BY p, o_orderpriority ROWS UNBOUNDED PRECEDING), 9) AS adjusted FROM r""",
     "cluster_bootstrap": """WITH a AS (SELECT c_nationkey, sum(o_totalprice) s, count(*) n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_nationkey), c AS (SELECT *, row_number() OVER (ORDER BY c_nationkey) - 1 i, count(*) OVER () k FROM a),
- d AS (SELECT rep, floor((('0x' || substr(sha256('0:' || rep || ':' || i), 1, 16))::UBIGINT)::DOUBLE / 18446744073709551616.0 * k)::BIGINT j FROM c, range(100) r(rep)),
+ d AS (SELECT rep, floor((('0x' || substr(sha256('0:' || rep || ':' || i), 1, 16))::UBIGINT)::DOUBLE / 18446744073709551616.0 * k)::BIGINT j FROM c, range(2000) r(rep)),
  e AS (SELECT rep, sum(s) / sum(n) v FROM d JOIN c ON c.i = d.j GROUP BY rep), l AS (SELECT list_sort(list(v)) s FROM e)
- SELECT (SELECT round(sum(s) / sum(n), 2) FROM c) AS estimate, round(s[3], 2) AS lower, round(s[97], 2) AS upper FROM l""",
+ SELECT (SELECT round(sum(s) / sum(n), 2) FROM c) AS estimate, round(s[51], 2) AS lower, round(s[1950], 2) AS upper FROM l""",
 }

@@ -117,17 +117,19 @@ _STEP = """
  sup AS (SELECT row_id, pos, CASE json_type(u) WHEN 'ARRAY' THEN u WHEN 'OBJECT' THEN json_array(u) END arr
   FROM (SELECT row_id, pos, json_extract(j, '$.support') u FROM named))"""
 _NAME = "regexp_replace(lower(trim(k)), '[\\s-]+', '_', 'g')"
-P5_SQL = f"""
-WITH {_STEP.strip()},
- dims AS (SELECT row_id, unnest(map_keys(dimensions)) k, unnest(map_values(dimensions)) v FROM workload_record),
- ia AS (SELECT row_id, unnest(map_keys(interpretation_answers)) k, unnest(map_values(interpretation_answers)) v FROM workload_record),
- st AS (SELECT row_id, CASE WHEN json_type(a) = 'VARCHAR' AND json_valid(a->>'$') THEN (a->>'$')::JSON ELSE a END a
+#: The recorded assumptions of the certificates: row_id, k (name), t (value in lower case).
+ASM_SQL = """st AS (SELECT row_id, CASE WHEN json_type(a) = 'VARCHAR' AND json_valid(a->>'$') THEN (a->>'$')::JSON ELSE a END a
   FROM (SELECT row_id, json_extract(CASE WHEN json_valid(payload) THEN payload::JSON END, '$.assumption_status') a FROM read_certificate)),
  obj AS (SELECT row_id, k, json_extract(a, '$."' || k || '"') v FROM (SELECT row_id, a, unnest(json_keys(a)) k FROM st WHERE json_type(a) = 'OBJECT')),
  lst AS (SELECT row_id, json_extract(a, '$[' || o || ']') v FROM (SELECT row_id, a, unnest(range(json_array_length(a)::BIGINT)) o FROM st WHERE json_type(a) = 'ARRAY')),
  asm AS (
   SELECT row_id, trim(k) k, lower(trim(CASE WHEN json_type(v) = 'OBJECT' THEN coalesce(v->>'$.value', v->>'$.holds') ELSE v->>'$' END)) t FROM obj
-  UNION ALL SELECT row_id, trim(v->>'$.name'), lower(trim(coalesce(v->>'$.value', v->>'$.holds'))) FROM lst WHERE json_type(v) = 'OBJECT')
+  UNION ALL SELECT row_id, trim(v->>'$.name'), lower(trim(coalesce(v->>'$.value', v->>'$.holds'))) FROM lst WHERE json_type(v) = 'OBJECT')"""
+P5_SQL = f"""
+WITH {_STEP.strip()},
+ dims AS (SELECT row_id, unnest(map_keys(dimensions)) k, unnest(map_values(dimensions)) v FROM workload_record),
+ ia AS (SELECT row_id, unnest(map_keys(interpretation_answers)) k, unnest(map_values(interpretation_answers)) v FROM workload_record),
+ {ASM_SQL}
 SELECT DISTINCT 'workload' AS record_kind, row_id, 'dimension' AS child_kind,
   CASE {_NAME} WHEN 'r2' THEN 'R2' WHEN 'precision_requirement' THEN 'R2' WHEN 'r4' THEN 'R4' WHEN 'query_ambiguity' THEN 'R4'
    WHEN 'r5' THEN 'R5' WHEN 'synthesis_depth' THEN 'R5' WHEN 'r6' THEN 'R6' WHEN 'domain_specificity' THEN 'R6' END AS child_key,
