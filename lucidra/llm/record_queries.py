@@ -136,8 +136,22 @@ s AS (SELECT *, row_number() OVER (PARTITION BY track, policy_level ORDER BY sco
 c AS (SELECT track, policy_level, n, (keep_percent * n + 99) // 100 k, score cutoff FROM s JOIN keep_target USING (track, policy_level) WHERE pos = (keep_percent * n + 99) // 100)
 """
 
+#: The linked groups by following all links from every row: quadratic in the size of a group.
+_P2 = """
+WITH RECURSIVE m AS (SELECT row_id, CASE WHEN json_valid(metadata) THEN metadata::JSON END j FROM example_record),
+f AS (SELECT row_id, f, json_extract(j, '$.' || f) v FROM m, (VALUES ('entity_id'), ('chain_id'), ('source_fact_id')) t(f)),
+x AS (SELECT row_id, f, v->>'$' s FROM f WHERE json_type(v) NOT IN ('ARRAY', 'NULL') UNION ALL SELECT row_id, f, unnest(from_json(v, '["VARCHAR"]')) FROM f WHERE json_type(v) = 'ARRAY'),
+c AS (SELECT row_id, f, lower(regexp_replace(s, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) s FROM x),
+k AS (SELECT DISTINCT row_id, f || ':' || s t FROM c WHERE s <> '' AND s NOT IN ('n/a', 'na', 'none', 'not applicable', 'tbd', 'todo', 'unknown')),
+h AS (SELECT t, min(row_id) h FROM k GROUP BY t),
+e AS (SELECT h a, row_id b FROM k JOIN h USING (t) WHERE h <> row_id UNION SELECT row_id, h FROM k JOIN h USING (t) WHERE h <> row_id),
+r(s, o) AS (SELECT DISTINCT row_id, row_id FROM k UNION SELECT s, b FROM r JOIN e ON a = o)
+SELECT min(o) AS first_row_id, s AS row_id FROM r GROUP BY s HAVING min(o) < s
+"""
+
 QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p1_classes": p1_classes, "p2_found": p2_found, "p2_assigned": p2_assigned, "p2_balance": p2_balance, "p4_found": p4_found, "p4_copies": p4_copies, "p6_found": p6_found, "p7_found": p7_found, "p7_cutoffs": p7_cutoffs}
 ORACLES = {
+    "p2_found": _P2,
     "p7_found": _P7 + "SELECT track, policy_level, row_id FROM u JOIN c USING (track, policy_level) WHERE score >= cutoff",
     "p7_cutoffs": _P7
     + "SELECT track, policy_level, c.n, k, cutoff, count(*) AS kept FROM u JOIN c USING (track, policy_level) WHERE score >= cutoff GROUP BY ALL",
