@@ -103,6 +103,9 @@ def _nodes(leaves: DataFrame, groups: list[str]) -> DataFrame:
 
 
 def keep_fraction(df: DataFrame, groups: list[str], score: str, targets: DataFrame, percent: str) -> DataFrame:
-    """The rows of ``df`` at or above the cutoff of their group. ``targets`` is a small fixed table, one row per group."""
-    cuts = CountTree.of(df, groups, score).cutoffs(targets, percent).select(*groups, F.col("cutoff").alias("_cutoff"))
-    return df.join(F.broadcast(cuts), groups).where(F.col(score) >= F.col("_cutoff")).drop("_cutoff")
+    """The rows of ``df`` at or above the cutoff of their group. ``targets`` has one row per group.
+
+    The cutoffs are written first, so that the join knows their size and broadcasts them only below Spark's threshold.
+    """
+    cuts = cut(CountTree.of(df, groups, score).cutoffs(targets, percent).select(*groups, F.col("cutoff").alias("_cutoff")))
+    return df.join(cuts, groups).where(F.col(score) >= F.col("_cutoff")).drop("_cutoff")
