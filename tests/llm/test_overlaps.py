@@ -84,6 +84,15 @@ def test_slips_share_a_remainder():
             assert overlaps.left_out(w) & overlaps.left_out(v)
 
 
+def test_remainders_by_the_letter_they_begin_with():
+    rng = random.Random(8)
+    for w in ["a", "ab", "aab", "1835", "a" * 33, *("".join(rng.choice("abcde") for _ in range(rng.randrange(1, 10))) for _ in range(200))]:
+        for twice in (True, False):
+            by_start = [overlaps.begun_at(w, d, twice) for d in range(3)]
+            assert set().union(*by_start) == overlaps.left_out(w, twice)
+            assert all(f[0] == w[d] for d, fs in enumerate(by_start) for f in fs)
+
+
 def test_how_words_are_written():
     assert overlaps.cased_words("Quick one - which River is in Zivandor?") == (["quick", "one", "which", "river", "is", "in", "zivandor"], "lllUllU")
     assert overlaps.cased_words("Laut dem Bericht von Zivandor")[1] == "-lAlU"
@@ -177,5 +186,23 @@ def test_mixed_questions_against_the_exact_check_alone(spark):
     assert found(spark, rows) == every_pair(rows)
 
 
+def test_disk_follows_the_texts(spark):
+    """What is written for the search stays a few times the texts; remainders of words are neither stored nor shuffled."""
+    rng = random.Random(9)
+    name = lambda: "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(4)).title()
+    rows = [(i, f"Who led the {name()} {name()} station before {name()} {name()} came there?", "train" if i % 2 else "eval") for i in range(6000)]
+    rows += [(9000 + i, t.replace("Who", "who") + "?", "eval" if s == "train" else "train") for i, t, s in rows[:20]]
+    jvm = spark.sparkContext._jvm
+
+    def written():
+        stats = jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics()
+        return sum(stats.get(i).getBytesWritten() for i in range(stats.size()))
+    df = spark.createDataFrame(rows, "row_id long, q string, side string").repartition(4)
+    before = written()
+    got = {tuple(r) for r in overlaps.overlapping_rows(df, "row_id", "q", "side").collect()}
+    assert {(9000 + i, i) if s == "eval" else (i, 9000 + i) for i, _, s in rows[:20]} == got
+    assert written() - before < 12 * sum(len(t) for _, t, _ in rows)
+
+
 def test_overlaps_of_nothing(spark):
     assert overlaps.overlapping_rows(spark.createDataFrame([], "row_id long, q string, side string"), "row_id", "q", "side").isEmpty()
